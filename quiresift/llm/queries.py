@@ -5,13 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiresift.llm import curriculum, linededup
+from quiresift.llm import curriculum, decontam, hyperminhash, langid, linededup, media, quality, substring, template, tokencounts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents"))
+    return media.read_back(stored).drop("timestamps", "access_points")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM b WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT n FROM phrases
+), runs AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lengths WHERE len(w) >= n)
+), hits AS (
+  SELECT r.doc_id, p.item_id, r.s, r.n FROM runs r JOIN phrases p ON r.phrase = p.phrase AND r.n = p.n
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""
+
+
+def fold(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_on(docs.where(fold(4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS body FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS place FROM runs) WHERE place > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS body, count(*) AS n FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokencounts.pieces_of(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -45,6 +125,54 @@ FROM kept GROUP BY doc_id
 """
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), rated AS (
+  SELECT s.doc_id, s.x, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.f, s.x) AS k
+  FROM s JOIN n ON s.doc_id = n.doc_id JOIN (SELECT x, count(*) AS f FROM s GROUP BY x) f ON s.x = f.x
+), prefix AS (
+  SELECT * FROM rated WHERE k <= n - ceil(0.8 * n) + 1
+), cand AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)
+), links AS (
+  SELECT c.a, c.b FROM cand c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND x.x = y.x GROUP BY c.a, c.b, c.na, c.nb HAVING 100 * count(*) >= 80 * (c.na + c.nb - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b
+), roots AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.root AS component_id, d.doc_id = r.root AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN roots r ON r.node = d.doc_id
+"""
+
+
+def quality_machine(spark: SparkSession, sf_dir: str) -> quality.Machine:
+    """Fitted on labelled rows outside the held-out fold."""
+    return quality.fit_on(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(fold(5) != 0))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    machine = quality_machine(spark, sf_dir)
+    scored = table(spark, sf_dir, "documents").select("doc_id", quality.score_column(machine, F.col("text"), spark).alias("score"))
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
@@ -79,10 +207,21 @@ FROM taking
 """
 
 QUERIES = {
+    "op1_transport_streams": op1_transport_streams,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_main_text": op7_main_text,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_quality": op9_quality,
     "op10_curriculum_mix": op10_curriculum_mix,
 }
 SQL = {
+    "op2_decontaminate": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op8_near_duplicates": OP8_SQL,
     "op10_curriculum_mix": OP10_SQL,
 }
