@@ -73,7 +73,7 @@ def test_member_names():
     info.flag_bits |= 0x800
     info.filename = "第1页.png"
     assert library.member_name(info) == "第1页.png"
-    assert library.decoded("页".encode("gbk")) == "页" and library.backends()["zipfile"]
+    assert library.decoded("第一页".encode("gbk")) == "第一页" and library.backends()["zipfile"]
 
 
 def test_store(spark):
