@@ -98,7 +98,8 @@ class Level:
         n, k = len(x), len(self.classes)
         if k == 1:
             return np.zeros(n, int), np.ones(n)
-        margins = (x @ self.weights).astype(np.float64) + self.biases
+        # Rounded, so that a text's class does not hang on the texts it is worked on with.
+        margins = np.round(x.astype(np.float64) @ self.weights.astype(np.float64) + self.biases, 9)
         votes, sums = np.zeros((n, k)), np.zeros((n, k))
         for j, (a, b) in enumerate(self.pairs):
             m = margins[:, j]

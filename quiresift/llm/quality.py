@@ -121,7 +121,9 @@ class Machine:
         return self.w0 + x @ self.w + 0.5 * (((x @ self.v) ** 2).sum(1) - (x**2) @ (self.v**2).sum(1))
 
     def score(self, texts: Texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(self.design(*inputs(texts))), -30, 30).astype(np.float64)))
+        """Rounded, so that a text's score does not hang on the texts it is worked on with."""
+        x = self.design(*inputs(texts)).astype(np.float64)
+        return np.round(1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30))), 9)
 
 
 def fit(texts: Sequence[str | None], labels: Sequence[int], rounds: int = 250, batch: int = 512, seed: int = 11) -> Machine:
@@ -158,6 +160,7 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], rounds: int = 250, b
             m += 0.1 * (grad - m)
             s += 0.01 * (grad**2 - s)
             value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+    machine.w, machine.v = machine.w.astype(np.float64), machine.v.astype(np.float64)
     return machine
 
 

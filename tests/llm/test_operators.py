@@ -1,0 +1,505 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from cases import ALNUM, LOWER, SPACED, as_rows, frame, rows, sentence, sha
+from pyspark.sql import functions as F
+
+from quiresift.llm import curriculum, decontam, hyperminhash, langid, linededup, media, quality, queries, substring, template, textbytes, tokencounts
+
+SF = "/root/testdata/sf0.001"
+DATA = rows()
+
+
+@pytest.fixture(scope="module", params=[False, True], ids=["plain", "clashing"])
+def docs(spark, request):
+    return frame(spark, DATA, request.param).repartition(3, "doc_id").persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+# Bytes and words ------------------------------------------------------------
+
+
+def test_words_and_hashes():
+    texts = [t for _, t, *_ in DATA]
+    array = pa.array(["skipped", *texts], pa.string()).slice(1)
+    seen = {}
+    for most_bytes, most_rows in ((1 << 22, 1024), (50, 3)):
+        at = 0
+        for first, after, piece in textbytes.pieces(array, most_bytes, most_rows):
+            assert first == at
+            at = after
+            words = textbytes.Words(piece)
+            hashes = words.hashes()
+            own = [w for i in range(first, after) for w in SPACED.findall(texts[i] or "")]
+            assert [piece.data[s:e].tobytes().decode() for s, e in zip(words.starts, words.ends, strict=True)] == own
+            assert list(words.counts) == [len(SPACED.findall(texts[i] or "")) for i in range(first, after)]
+            for w, h in zip(own, hashes.tolist(), strict=True):
+                assert seen.setdefault(w, h) == h
+        assert at == len(texts)
+    assert len(set(seen.values())) == len(seen)
+
+
+# 1 Media --------------------------------------------------------------------
+
+
+def test_streams_round_trip():
+    for n in [0, 1, 63, 64, 65, 150, 157, 158, 159, 160, 170, 183, 184, 185, 1000, 16 * 1024 - 64, 16 * 1024, 16 * 1024 + 64, 200_000]:
+        payload = media.padded(bytes(i * 7 % 251 for i in range(n)))
+        assert len(payload) % 64 == 0 and len(payload) > 0
+        data = media.mux(payload)
+        s = media.demux(data)
+        assert len(data) % 188 == 0 and s.payload == payload
+        assert (s.lost, s.bad_tables, s.cut) == (0, 0, 0)
+        assert s.stamps == [3600 * (k + 1) for k in range(math.ceil(len(payload) / media.UNIT_BYTES))]
+        assert s.access == s.stamps[::4] and s.clocks == len(s.access) and s.pmt_pid == 0x1000 and s.data_pid == 0x100
+
+
+def test_streams_with_faults():
+    data = bytearray(media.mux(media.padded(b"a" * 5000)))
+    without = bytes(data[: 188 * 5] + data[188 * 6 :])
+    assert media.demux(without).lost == 1 and media.demux(without).cut == 1
+    data[188 + 10] ^= 1
+    assert media.demux(bytes(data)).bad_tables == 1
+    assert media.demux(b"") == media.Stream() and media.demux(b"no stream" * 50).payload == b""
+    assert media.ticks_of(media.stamp(2, (1 << 33) - 5)) == (1 << 33) - 5
+
+
+def test_media_query(spark, docs, empty):
+    got = as_rows(media.read_back(media.store(docs)).drop("timestamps", "access_points", "media_bytes", "media_sha256", "feature"))
+    want = []
+    for i, t, *_ in DATA:
+        raw = (t or "").encode()
+        padded = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        want.append((i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
+    assert got == sorted(want, key=str)
+    same = media.read_back(media.store(docs)).groupBy("payload_sha256", "n_bytes").agg(F.countDistinct("media_sha256").alias("m"), F.countDistinct("feature").alias("f")).where("m > 1 OR f > 1")
+    assert same.count() == 0 and media.read_back(media.store(empty)).count() == 0
+
+
+# 2 Decontamination ----------------------------------------------------------
+
+
+def contamination(data, items, n=13):
+    grams = {}
+    for item, text in items:
+        w = ALNUM.findall((text or "").translate(LOWER))
+        if item is not None and w:
+            k = min(n, len(w))
+            for i in range(len(w) - k + 1):
+                grams.setdefault(tuple(w[i : i + k]), set()).add(str(item))
+    sizes = {len(g) for g in grams}
+    for i, text, *_ in data:
+        w = ALNUM.findall((text or "").translate(LOWER))
+        hit, found = set(), set()
+        for k in sizes:
+            for s in range(len(w) - k + 1):
+                if own := grams.get(tuple(w[s : s + k])):
+                    hit |= set(range(s, s + k))
+                    found |= own
+        yield (i, len(w), len(hit), len(found), ",".join(sorted(found)), bool(hit) and 20 * len(hit) >= len(w))
+
+
+def benchmark_items():
+    rng = random.Random(8)
+    words = ALNUM.findall(DATA[5][1].translate(LOWER))
+    long = ALNUM.findall(DATA[60 + 9][1].translate(LOWER))
+    return [(1, " ".join(words[-40:-10]).upper()), (2, "one"), (3, None), (4, ""), (None, " ".join(words[:20])), (10, " ".join(long[100:140])), (10, "again and AGAIN"), (7, sentence(rng, 20, 10_000)), (8, "ÀÉ ÇÖ"), (8, "ÀÉ ÇÖ"), (9, "àé çö"), (11, "İK")]
+
+
+def test_decontamination(spark, docs, empty):
+    items = benchmark_items()
+    df = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1)).withColumn("phrase", F.lit("x"))
+    judged = decontam.contaminated(docs, df)
+    got = as_rows(judged.select("doc_id", "n_words", "n_hit", "n_items", F.array_join("items", ","), "contaminated"))
+    assert got == sorted(contamination(DATA, items), key=str)
+    assert any(r[-1] for r in got)
+    assert as_rows(decontam.contaminated(docs, df.limit(0)).select("n_hit").distinct()) == [(0,)]
+    assert decontam.contaminated(empty, df).count() == 0
+
+
+def test_query_side_too_large_to_broadcast(spark, docs, monkeypatch):
+    items = benchmark_items()
+    df = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    got = as_rows(decontam.contaminated(docs, df).select("doc_id", "n_words", "n_hit", "n_items", F.array_join("items", ","), "contaminated"))
+    assert got == sorted(contamination(DATA, items), key=str)
+
+
+def test_proximity(spark):
+    data = [(i, sentence(random.Random(i), 80, 30), None, None, None) for i in range(12)]
+    base = decontam.keyed(frame(spark, data), "doc_id", "text")
+    index = decontam.build_index(base)
+    asked = [("q1", ["w1", "w2", "w3"]), ("q2", ["w0", "w25"]), ("q3", ["absent", "w1"]), ("q4", ["w4", "w4"])]
+    got = {(r.query_id, r.doc_id, r.at) for r in decontam.near_matches(index, spark.createDataFrame(asked, "query_id string, terms array<string>"), 5).collect()}
+    counts = Counter(w for _, t, *_ in data for w in t.split())
+    want = set()
+    for q, terms in asked:
+        rarest = min(set(terms), key=lambda t: (counts[t], t))
+        for i, t, *_ in data:
+            w = t.split()
+            for at, x in enumerate(w):
+                if x == rarest and all(any(w[j] == y for j in range(max(0, at - 5), min(len(w), at + 6))) for y in terms):
+                    want.add((q, i, at + 1))
+    assert got == want
+
+
+# 3 Language -----------------------------------------------------------------
+
+
+def test_language_accuracy_and_odd_rows(spark, empty):
+    got = queries.op3_language_id(spark, SF).join(queries.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+    model = langid.fit_on(queries.table(spark, SF, "documents"))
+    odd = frame(spark, [(1, None, None, None, None), (2, "", None, None, None), (3, "12 ... --", None, None, None), (None, "İ", None, None, None), (4, "the and that with", None, None, None), (4, "the and that with", None, None, None)], True)
+    told = {r.doc_id: r for r in langid.identify(odd, model).collect()}
+    assert [told[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and told[None].lang_pred != "und" and told[4].lang_pred == "en"
+    assert all(0 <= r.score <= 1 for r in told.values())
+    assert langid.identify(empty, model).count() == 0
+    blank = langid.fit_on(empty)
+    assert [r.lang_pred for r in langid.identify(odd, blank).collect()] == ["und"] * 6
+    only = langid.fit(["abc", "abd"], ["xx", "xx"])
+    assert langid.identify(odd, only).where("doc_id = 4").first().lang_pred == "xx"
+
+
+def test_language_levels():
+    rng = np.random.default_rng(0)
+    alphabet = {"en": "abc", "de": "abd", "fr": "xyz", "es": "xyw", "qq": "mno"}
+    texts, langs = [], []
+    for lang, letters in alphabet.items():
+        for _ in range(40):
+            texts.append("".join(rng.choice(list(letters), 60)))
+            langs.append(lang)
+    model = langid.fit(texts, langs)
+    assert model.families.classes == ["germanic", "only qq", "romance"] and [level.classes for level in model.within] == [["de", "en"], ["qq"], ["es", "fr"]]
+    names, _ = model.predict(textbytes.texts_of(pa.array(texts)))
+    assert (names == np.array(langs, object)).mean() > 0.98
+
+
+# 4 Substrings ---------------------------------------------------------------
+
+
+def cut(data, n=20):
+    first, out = {}, []
+    key = lambda i: -(1 << 70) if i is None else i
+    for i, text, *_ in data:
+        w = SPACED.findall(text or "")
+        for s in range(len(w) - n + 1):
+            k = tuple(w[s : s + n])
+            first[k] = min(first.get(k, (1 << 70, 0)), (key(i), s))
+    for i, text, *_ in data:
+        w = SPACED.findall(text or "")
+        gone = set()
+        for s in range(len(w) - n + 1):
+            if first[tuple(w[s : s + n])] < (key(i), s):
+                gone |= set(range(s, s + n))
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def test_substrings(spark, docs, empty):
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    got = as_rows(substring.repeats(docs).select("doc_id", "n_words", removed, "kept"))
+    assert got == cut(DATA) and sum(r[2] > 0 for r in got) > 10
+    assert substring.repeats(empty).count() == 0
+    nulls = [(None, DATA[5][1], None, None, None), (None, "a b " * 40, None, None, None), (3, DATA[5][1], None, None, None)]
+    assert as_rows(substring.repeats(frame(spark, nulls)).select("doc_id", "n_words", removed, "kept")) == cut(nulls)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings_over_buckets(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    shared = [sentence(rng, rng.randrange(15, 60), 1000) for _ in range(5)]
+    data = [(i, " ".join(rng.choice([*shared, sentence(rng, 12, 5), sentence(rng, 25, 500)]) for _ in range(6)), None, None, None) for i in range(40)]
+    monkeypatch.setattr(substring, "BUCKET_DOCS", 3)
+    monkeypatch.setattr(substring, "MOST_PAIRS", 50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    assert as_rows(substring.repeats(frame(spark, data)).select("doc_id", "n_words", removed, "kept")) == cut(data)
+
+
+# 5 Token counts -------------------------------------------------------------
+
+
+def slow_count(word, scores, unknown):
+    text = tokencounts.MARK + word
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        options = [(best[end - 1][0] + unknown, -(best[end - 1][1] + 1))]
+        options += [(best[s][0] + scores[text[s:end]], -(best[s][1] + 1)) for s in range(end) if text[s:end] in scores]
+        top = max(options)
+        best.append((top[0], -top[1]))
+    return best[-1][1]
+
+
+def test_token_counts(spark, docs, empty):
+    scores = tokencounts.pieces_of(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    unknown = min(scores.values()) - tokencounts.BYTE_PENALTY
+    got = as_rows(tokencounts.count_tokens(docs, scores).select("doc_id", "n_pretokens", "n_tokens", "n_bytes"))
+    memo = {}
+    want = []
+    for i, t, *_ in DATA:
+        words = SPACED.findall(t or "")
+        for w in words:
+            memo.setdefault(w, slow_count(w.encode(), scores, unknown) if len(w) < 200 else None)
+        if None in (memo[w] for w in words):
+            got = [r for r in got if r[0] != i]
+            continue
+        want.append((i, len(words), sum(memo[w] for w in words), len((t or "").encode())))
+    assert got == sorted(want, key=str)
+    assert tokencounts.count_tokens(empty, scores).count() == 0
+
+
+def test_trie_begins_anew_without_a_change(monkeypatch):
+    rng = random.Random(1)
+    scores = {p.encode(): -rng.random() * 5 for p in ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb"]}
+    words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    vocabulary = tokencounts.Vocabulary(scores)
+    want = [slow_count(w, scores, vocabulary.byte_score) for w in words]
+    assert [tokencounts.Trie(vocabulary)[w] for w in words] == want
+    monkeypatch.setattr(tokencounts, "MOST_NODES", 40)
+    trie = tokencounts.Trie(vocabulary)
+    assert [trie[w] for w in words] == want and len(trie.children) < 80
+
+
+# 6 Lines --------------------------------------------------------------------
+
+
+def line_cut(data, divisor=3):
+    h = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+    found = defaultdict(set)
+    cuts = {}
+    key = lambda i: -(1 << 70) if i is None else i
+    for i, text, *_ in data:
+        lines = (text or "").split("\n")
+        hs = [h(x) for x in lines]
+        starts = [0] + [j for j in range(1, len(lines)) if (hs[j] + 31 * hs[j - 1]) % divisor == 0]
+        spans = [(s, e) for s, e in zip(starts, [*starts[1:], len(lines)], strict=True) if e - s >= 2]
+        cuts[i, text] = spans
+        for s, e in spans:
+            found["\n".join(lines[s:e])].add((key(i), s))
+    out = []
+    for i, text, *_ in data:
+        lines = (text or "").split("\n")
+        gone = {j for s, e in cuts[i, text] if min(found["\n".join(lines[s:e])]) < (key(i), s) for j in range(s, e)}
+        out.append((i, len(lines), "\n".join(x for j, x in enumerate(lines) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def test_lines(spark, docs, empty):
+    plain = docs.select("doc_id", "text")
+    got = as_rows(linededup.drop_repeated_chunks(plain).select("doc_id", F.size("lines"), F.array_join("kept", "\n")))
+    assert got == line_cut(DATA) and got != sorted([(i, len((t or "").split("\n")), t or "") for i, t, *_ in DATA], key=str)
+    kept = linededup.drop_repeated_chunks(docs.select("doc_id", "text", "lang", "n_chars"))
+    assert kept.columns == ["doc_id", "text", "lang", "n_chars", "lines", "kept"]
+    assert as_rows(kept.select("doc_id", "text", "lang", "n_chars")) == sorted([(i, t, lang, n) for i, t, lang, _, n in DATA], key=str)
+    assert linededup.drop_repeated_chunks(empty.select("doc_id", "text")).count() == 0
+    nulls = [(None, "a\nb\nc\nd\ne\nf", None, None, None), (1, "a\nb\nc\nd\ne\nf", None, None, None)]
+    assert as_rows(linededup.drop_repeated_chunks(frame(spark, nulls).select("doc_id", "text")).select("doc_id", F.size("lines"), F.array_join("kept", "\n"))) == line_cut(nulls)
+
+
+# 7 Pages --------------------------------------------------------------------
+
+FURNISHED = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header>Site</header>
+<nav><ul><li><a href="/a">Home</a></li><li>About</li></ul></nav><!-- ad <p>x</p> --><div class="ad">Buy now {i}</div><aside>side</aside>
+<article><h1>Title {i}</h1><p>One &amp; two&nbsp;&lt;{i}&gt; <b>bo</b>ld<p>Next {i}<br>line  {i}</p><div class="share">Share this</div><div id="Comments"><p>First! {i}</p></div><p>Sign up here</p></article>
+<form><input value="q">Find</form><div class="cookie-notice">We use cookies</div><footer>&copy; {i}</footer></body></html>"""
+
+
+def test_pages(spark):
+    data = [(i, f"https://h{i % 2}.example/{i}", FURNISHED.format(i=i)) for i in range(24)]
+    odd = [(100, "https://h0.example/x", None), (101, None, ""), (None, "no url", "plain  text &am &#x41;"), (103, "https://new.example/", "<p>one<p>two <!-- cut"), (103, "https://new.example/", "<p>one<p>two <!-- cut"), (104, "http://u@H1.example:80/", "<article><p>left open <b>bold <i>x"), (105, "x", "a < b <3 <"), (106, "x", "<script>never closed"), (107, "x", "<p>" + "long " * 50_000)]
+    df = spark.createDataFrame(data + odd, "page_id long, url string, html string").withColumn("template", F.lit("clash")).withColumn("host", F.lit("clash"))
+    got = [tuple(r) for r in template.extract(df).collect()]
+    by = {r[0]: r for r in got}
+    assert len(got) == len(data) + len(odd)
+    for i in range(24):  # what stands on all pages of a host is the template's
+        assert by[i][2] == f"Title {i} One & two <{i}> bold Next {i} line {i}"
+    assert by[100][2:] == ("", 0) and by[101][2] == "" and by[None][2] == "plain text &am A" and by[103][2] == "one two" and by[104][2] == "left open bold x"
+    assert by[105][2] == "a < b <3 <" and by[106][2] == "" and by[107][3] == 50_000 * 5 - 1
+    assert template.extract(df.limit(0)).count() == 0
+    few = {r.page_id: r.text for r in template.extract(df.where("page_id < 4")).collect()}
+    assert few[1] == "Title 1 One & two <1> bold Next 1 line 1 Sign up here"
+
+
+def test_pages_with_a_shuffled_template(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"https://h{i % 2}.example/{i}", FURNISHED.format(i=i)) for i in range(24)], "page_id long, url string, html string")
+    want = as_rows(template.extract(df))
+    monkeypatch.setattr(template, "BROADCAST_ROWS", 0)
+    assert as_rows(template.extract(df)) == want
+
+
+def test_page_query_keeps_the_article(spark):
+    pages = queries.table(spark, SF, "pages").collect()
+    got = {r.page_id: r for r in queries.op7_main_text(spark, SF).collect()}
+    assert len(got) == len(pages)
+    import html
+
+    for p in pages:
+        body = re.sub(r"<[^>]*>?", " ", p.html.split("<article>")[1].split("</article>")[0].replace("<b>", ""))
+        assert got[p.page_id].text == " ".join(html.unescape(body).split()), p.page_id
+        assert got[p.page_id].n_chars == len(got[p.page_id].text)
+
+
+# 8 Near duplicates ----------------------------------------------------------
+
+
+def shingles(text, n):
+    w = SPACED.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def near(data, n, percent=80):
+    own = [(i, shingles(t, n)) for i, t, *_ in data]
+    parent = {i: i for i, _ in own}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(own):
+        for j, b in own[:k]:
+            if a and b and i is not None and j is not None and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted([(i, len(s), find(i), i == find(i)) for i, s in own], key=str)
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_near_duplicates(docs, empty, n):
+    got = as_rows(hyperminhash.near_duplicates(docs, shingle=n))
+    assert got == near(DATA, n) and any(not r[3] for r in got)
+    if n == 2:
+        assert hyperminhash.near_duplicates(empty, shingle=n).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_near_duplicates_around_the_threshold(spark, seed):
+    """Groups whose members are linked with some of the others only, and short texts."""
+    rng = random.Random(seed)
+    data = []
+    for g in range(6):
+        base = sentence(rng, rng.choice([5, 6, 8, 20, 60, 150]), 100_000).split()
+        for _ in range(25):
+            words = list(base)
+            for _ in range(int(len(words) * rng.random() * 0.12) + rng.randrange(2)):
+                words[rng.randrange(len(words))] = f"e{g}_{rng.randrange(30)}"
+            data.append((len(data), " ".join(words[: len(words) - rng.randrange(2)]), None, None, None))
+    data.append((None, data[0][1], None, None, None))
+    rng.shuffle(data)
+    assert as_rows(hyperminhash.near_duplicates(frame(spark, data), shingle=2)) == near(data, 2)
+
+
+def test_registers_estimate_similarity():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 10, 200, 5000):
+        for share in (0.3, 0.8, 1.0):
+            common = rng.integers(0, 1 << 63, max(1, round(2 * n * share / (1 + share))), dtype=np.uint64) * np.uint64(2)
+            extra = [rng.integers(0, 1 << 63, n - min(n, len(common)), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+            sets = [np.unique(np.concatenate([common, e])) for e in extra]
+            exact = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+            r = hyperminhash.registers(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]))
+            told = hyperminhash.estimate((r[0] == r[1]).sum())
+            assert abs(told - exact) < 0.25 + (0.5 if n < 10 else 0)
+            if exact == 1:
+                assert told == 1
+
+
+# 9 Quality ------------------------------------------------------------------
+
+
+def test_quality(spark, empty):
+    larger = "/root/testdata/sf0.01"
+    got = queries.op9_quality(spark, larger).join(queries.table(spark, larger, "labels"), "doc_id").where("held_out").collect()
+    assert len(got) >= 50 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+    machine = queries.quality_machine(spark, SF)
+    odd = frame(spark, DATA, True).withColumn("s", quality.score_column(machine, F.col("text"), spark))
+    told = odd.select("doc_id", "text", "s").collect()
+    assert len(told) == len(DATA) and all(0 <= r.s <= 1 for r in told)
+    by_text = defaultdict(set)
+    for r in told:
+        by_text[r.text or ""].add(r.s)
+    assert all(len(s) == 1 for s in by_text.values())
+    assert empty.select(quality.score_column(machine, F.col("text"), spark)).count() == 0
+
+
+def test_quality_learns_interactions_in_linear_time():
+    rng = random.Random(6)
+    texts, labels = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join(["alpha" if a else "beta"] * 10 + ["gamma" if b else "delta"] * 10))
+        labels.append(int(a == b))  # no single word tells
+    machine = quality.fit(texts, labels, rounds=400)
+    score = machine.score(textbytes.texts_of(pa.array(texts)))
+    assert ((score > 0.5) == np.array(labels, bool)).mean() > 0.99
+    x = machine.design(*quality.inputs(textbytes.texts_of(pa.array(texts[:20]))))
+    pairwise = machine.w0 + x @ machine.w + np.array([sum(float(machine.v[i] @ machine.v[j]) * r[i] * r[j] for k, i in enumerate(at) for j in at[k + 1 :]) for r, at in ((r, np.flatnonzero(r)) for r in x)])
+    assert np.allclose(machine.margin(x), pairwise, atol=1e-3)
+    assert 0 <= quality.fit([], []).score(textbytes.texts_of(pa.array(["x"])))[0] <= 1
+    assert quality.fit(["x", "y"], [1, 1]).score(textbytes.texts_of(pa.array([None, "x"]))).min() > 0.5
+
+
+# 10 Mixing ------------------------------------------------------------------
+
+
+def filled(sizes, weights, share=1.5, most=2.0):
+    """Targets by resharing what is over, until nothing is."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, full = share * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        left = total - sum(full.values())
+        over = [s for s in rest if left * weight[s] / sum(weight[x] for x in rest) > most * sizes[s]]
+        if not over or not rest:
+            return full | {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        full |= {s: most * sizes[s] for s in over}
+
+
+def test_mixing(spark, docs, empty):
+    got = curriculum.mix(docs, bucket_rows=4).collect()
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in DATA:
+        sizes[s] += len(SPACED.findall(t or ""))
+    want = filled(sizes, (5, 2, 1))
+    assert sorted((r.doc_id, r.size) for r in got) == sorted((i, len(SPACED.findall(t or ""))) for i, t, *_ in DATA)
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
+        assert 0 <= r.taken <= 2 * r.size and (r.taken == 0) == (r.position is None)
+        taken[r.source] += r.taken
+    assert {s: math.floor(t + 1e-9) for s, t in want.items()} == dict(taken)
+    positions = [r.position for r in got if r.position is not None]
+    assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] <= 1
+    assert as_rows(curriculum.mix(docs, bucket_rows=4)) == as_rows(curriculum.mix(docs.repartition(5), bucket_rows=10_000))
+    assert curriculum.mix(empty).count() == 0
+
+
+def test_positions_invert_the_schedule(spark):
+    data = [(u, a) for u in np.linspace(0, 1, 21).tolist() for a in (-1.0, -0.5, 0.0, 0.3, 1.0)]
+    got = spark.createDataFrame(data, "u double, a double").select("u", "a", curriculum.when_reached(F.col("u"), F.col("a")).alias("t")).collect()
+    for r in got:
+        assert abs((1 - r.a) * r.t + r.a * r.t**2 - r.u) < 1e-9 and 0 <= r.t <= 1 + 1e-12
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(curriculum, "BROADCAST_SOURCES", 0)
+    rng = random.Random(0)
+    data = [(i, "w " * rng.randrange(0, 50), None, f"s{int(rng.expovariate(0.3))}", None) for i in range(300)]
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in data:
+        sizes[s] += len(t.split())
+    want = filled(sizes, (5, 2, 1))
+    got = curriculum.mix(frame(spark, data)).collect()
+    assert len(got) == 300 and all(abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) for r in got)
