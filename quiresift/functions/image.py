@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,12 +22,13 @@ MAX_SKEW, SKEW_GAIN, LEAST_SKEW, INK_LEVEL = 5.0, 1.12, 0.3, 160
 FEATURES = "q1"
 
 
-def _area_weights(n: int, m: int) -> np.ndarray:
-    """m x n: each output cell as the mean of the input cells it covers."""
+def _by_area(gray: np.ndarray, m: int) -> np.ndarray:
+    """Rows to m: each the mean of the rows it covers, by differences of running sums."""
+    n = gray.shape[0]
+    total = np.concatenate([np.zeros((1, gray.shape[1])), np.cumsum(gray, axis=0)])
     edges = np.linspace(0, n, m + 1)
-    lo, hi = edges[:-1, None], edges[1:, None]
-    cell = np.arange(n)[None, :]
-    return np.clip(np.minimum(hi, cell + 1) - np.maximum(lo, cell), 0, 1) * (m / n)
+    low = np.minimum(edges.astype(int), n - 1)
+    return np.diff(total[low] + (edges - low)[:, None] * gray[low], axis=0) * (m / n)
 
 
 def _line_weights(n: int, m: int) -> np.ndarray:
@@ -42,10 +44,8 @@ def _line_weights(n: int, m: int) -> np.ndarray:
 
 def resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
     """By area where it shrinks, by lines where it grows."""
-    h, w = gray.shape
-    rows = (_area_weights if height <= h else _line_weights)(h, height)
-    columns = (_area_weights if width <= w else _line_weights)(w, width)
-    return rows @ gray.astype(np.float64) @ columns.T
+    along = lambda a, m: a if m == a.shape[0] else _by_area(a, m) if m < a.shape[0] else _line_weights(a.shape[0], m) @ a
+    return along(along(gray.astype(np.float64), height).T, width).T
 
 
 def fitted(gray: np.ndarray, side: int, grow: bool, least: int = 1) -> np.ndarray:
@@ -75,9 +75,17 @@ def blur(gray: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def median3(gray: np.ndarray) -> np.ndarray:
+    """Of each cell and its eight neighbours: the middle of the columns' least, middle and greatest values."""
     padded = np.pad(gray, 1, mode="edge")
     h, w = gray.shape
-    return np.median(np.stack([padded[i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0)
+
+    def ordered(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        return np.minimum(low, c), np.maximum(low, np.minimum(high, c)), np.maximum(high, c)
+
+    least, middle, greatest = ordered(padded[:h], padded[1 : h + 1], padded[2 : h + 2])
+    beside = lambda x: (x[:, :w], x[:, 1 : w + 1], x[:, 2 : w + 2])
+    return ordered(ordered(*beside(least))[2], ordered(*beside(middle))[1], ordered(*beside(greatest))[0])[1]
 
 
 def _dark_ends(levels: np.ndarray) -> tuple[int, int]:
@@ -112,8 +120,8 @@ def bed_box(gray: np.ndarray) -> tuple[int, int, int, int]:
     return box
 
 
-def turned(gray: np.ndarray, degrees: float, grow: bool, nearest: bool, outside: float | None) -> np.ndarray:
-    """Rotated about its middle; outside: a value, or null for the nearest edge cell."""
+def turned(gray: np.ndarray, degrees: float, grow: bool) -> np.ndarray:
+    """Rotated about its middle, by lines; outside stands the nearest edge cell."""
     h, w = gray.shape
     angle = np.deg2rad(degrees)
     cos, sin = np.cos(angle), np.sin(angle)
@@ -121,11 +129,6 @@ def turned(gray: np.ndarray, degrees: float, grow: bool, nearest: bool, outside:
     y, x = np.mgrid[0:nh, 0:nw]
     dx, dy = x - nw / 2, y - nh / 2
     sx, sy = cos * dx - sin * dy + w / 2, sin * dx + cos * dy + h / 2
-    if nearest:
-        ix, iy = np.rint(sx).astype(int), np.rint(sy).astype(int)
-        inside = (ix >= 0) & (ix < w) & (iy >= 0) & (iy < h)
-        found = gray[np.clip(iy, 0, h - 1), np.clip(ix, 0, w - 1)]
-        return found if outside is None else np.where(inside, found, outside)
     sx, sy = np.clip(sx, 0, w - 1), np.clip(sy, 0, h - 1)
     x0, y0 = np.minimum(sx.astype(int), max(w - 2, 0)), np.minimum(sy.astype(int), max(h - 2, 0))
     fx, fy = sx - x0, sy - y0
@@ -134,6 +137,18 @@ def turned(gray: np.ndarray, degrees: float, grow: bool, nearest: bool, outside:
     return (g[y0, x0] * (1 - fx) + g[y0, x1] * fx) * (1 - fy) + (g[y1, x0] * (1 - fx) + g[y1, x1] * fx) * fy
 
 
+@lru_cache(maxsize=128)
+def _turn(h: int, w: int, degrees: float) -> tuple[np.ndarray, np.ndarray]:
+    """(where each cell of a page comes from when turned, as flat index; whether that is inside)."""
+    angle = np.deg2rad(degrees)
+    y, x = np.mgrid[0:h, 0:w]
+    dx, dy = x - w / 2, y - h / 2
+    ix = np.rint(np.cos(angle) * dx - np.sin(angle) * dy + w / 2).astype(np.int32)
+    iy = np.rint(np.sin(angle) * dx + np.cos(angle) * dy + h / 2).astype(np.int32)
+    inside = (ix >= 0) & (ix < w) & (iy >= 0) & (iy < h)
+    return np.clip(iy, 0, h - 1) * w + np.clip(ix, 0, w - 1), inside
+
+
 def skew(gray: np.ndarray) -> float:
     """Degrees by which to turn a page so that its lines lie straight; 0 if that gains little."""
     view = fitted(gray, SKEW_VIEW, grow=False)
@@ -144,7 +159,10 @@ def skew(gray: np.ndarray) -> float:
         return 0.0
 
     def sharpness(degrees: float) -> float:
-        held = ink if abs(degrees) < 1e-6 else turned(ink, degrees, grow=False, nearest=True, outside=0.0)
+        held = ink
+        if abs(degrees) >= 1e-6:
+            where, inside = _turn(*ink.shape, round(degrees, 3))
+            held = ink.ravel()[where] * inside
         return float((np.diff(held.mean(1)) ** 2).sum() + (np.diff(held.mean(0)) ** 2).sum())
 
     straight = sharpness(0.0)
@@ -206,7 +224,7 @@ def features(gray: np.ndarray | None, crop: str = "bed", straighten: bool = True
     elif crop != "none":
         raise ValueError(f"crop: bed or none, not {crop}")
     if straighten and (degrees := skew(gray)):
-        gray = np.round(turned(gray, degrees, grow=True, nearest=False, outside=None))
+        gray = np.round(turned(gray, degrees, grow=True))
     h, w = gray.shape
     if min(h, w) < 16:
         return None

@@ -548,7 +548,7 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                 grid = np.asarray(r.vector, np.float64).reshape(8, 8)
                 drawn = np.kron(np.where(grid > np.median(grid), 230.0, 40.0), np.ones((30, 24)))
                 page = np.pad(drawn, 20, constant_values=250.0)
-                scan = np.pad(image.turned(page * 0.9, 1.0, grow=False, nearest=False, outside=None), 14, constant_values=20.0)
+                scan = np.pad(image.turned(page * 0.9, 1.0, grow=False), 14, constant_values=20.0)
                 for kind, held in (("clean", page), ("scan", scan)):
                     found = image.features(image.read_png(image.write_png(held)))
                     rows.append((r.idx, kind, found["phash"], found["bhash32"], found["px"], found["blank"], round(found["ink"], 6)))

@@ -25,7 +25,7 @@ def drawn(seed):
 
 
 def scanned(page, seed):
-    out = np.pad(image.turned(page * 0.88 + 10, 0.8, grow=False, nearest=False, outside=None), 10, constant_values=15.0)
+    out = np.pad(image.turned(page * 0.88 + 10, 0.8, grow=False), 10, constant_values=15.0)
     return np.clip(out + np.random.default_rng(seed).normal(0, 3, out.shape), 0, 255)
 
 

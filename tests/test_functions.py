@@ -168,7 +168,7 @@ def test_image_features_tell_pages_apart():
     pages = [drawn(s) for s in range(6)]
     clean = [image.features(p) for p in pages]
     for i, p in enumerate(pages):
-        scan = np.pad(image.turned(p * 0.85 + 12, 1.5, grow=False, nearest=False, outside=None), 16, constant_values=15.0)
+        scan = np.pad(image.turned(p * 0.85 + 12, 1.5, grow=False), 16, constant_values=15.0)
         told = image.features(np.clip(scan + np.random.default_rng(i).normal(0, 4, scan.shape), 0, 255))
         tile = np.frombuffer(told["tile"], np.uint8).reshape(64, 64)
         for j, c in enumerate(clean):
@@ -187,4 +187,4 @@ def test_png_round_trip_and_crop():
     framed = np.pad(page, 30, constant_values=10)
     top, bottom, left, right = image.bed_box(framed.astype(float))
     assert abs(top - 30) <= 2 and abs(bottom - 330) <= 2 and abs(left - 30) <= 2 and abs(right - 250) <= 2
-    assert abs(image.skew(image.turned(page.astype(float), 2.0, grow=False, nearest=False, outside=None)) + 2.0) <= 0.61
+    assert abs(image.skew(image.turned(page.astype(float), 2.0, grow=False)) + 2.0) <= 0.61
