@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresift.llm.textbytes import Words, pieces, run_hashes, split_batches
@@ -78,15 +78,17 @@ class Anchored:
         return np.flatnonzero(np.repeat(met, np.diff(np.append(turns, len(self.least)))) & self.valid)
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def bucketed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """(bucket, doc_id, text), each bucket in one partition; and the expression of a bucket by doc_id."""
     buckets = max(1, -(-docs.count() // BUCKET_DOCS))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return base.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "text").repartition(parts, "bucket")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return base.select(bucket.alias("bucket"), "doc_id", "text").repartition(parts, "bucket"), bucket
 
 
 def anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, bucket, several): each bucket's distinct anchors, and whether it has one in several places."""
+    """(anchor, bucket): each bucket's distinct anchors."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         values, buckets = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -94,9 +96,7 @@ def anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
         values, buckets = values[order], buckets[order]
         fresh = np.ones(len(values), bool)
         fresh[1:] = (values[1:] != values[:-1]) | (buckets[1:] != buckets[:-1])
-        at = np.flatnonzero(fresh)
-        several = np.diff(np.append(at, len(values))) > 1
-        return pa.record_batch([pa.array(values[at].view(np.int64)), pa.array(buckets[at]), pa.array(several)], names=["anchor", "bucket", "several"])
+        return pa.record_batch([pa.array(values[fresh].view(np.int64)), pa.array(buckets[fresh])], names=["anchor", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -110,42 +110,36 @@ def anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.mapInArrow(run, "anchor long, bucket long, several boolean")
+    return rows.mapInArrow(run, "anchor long, bucket int")
 
 
-def _read(docs: pa.Table, window: int, gram: int) -> Iterator[tuple[pa.Array, Anchored, object]]:
-    """Pieces of a bucket's documents: ids, anchors, texts."""
-    docs = docs.combine_chunks()
-    text = docs.column("text")
-    text = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
-    ids = docs.column("doc_id").fill_null(NO_ID).to_numpy()
-    for first, after, texts in pieces(text):
-        yield ids[first:after], Anchored(Words(texts), window, gram), texts
+class Bucket:
+    """A bucket's documents: their windows' hashes, ids and starts, in order of the rows, and the pieces they come from."""
 
-
-def _windows(docs: pa.Table, shared: pa.Table, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """Windows of a bucket that may stand elsewhere too: hash, id, start in the text, index of the first word; and the pieces."""
-    wanted = np.sort(shared.column("anchor").to_numpy().view(np.uint64))
-    hashes, ids, starts, places, read, base = [], [], [], [], [], 0
-    for own, a, texts in _read(docs, window, gram):
-        at = a.shared_windows(wanted)
-        rows = a.rows()[at]
-        hashes.append(run_hashes(a.hashes, window)[at])
-        ids.append(own[rows])
-        starts.append(at - a.first[rows])
-        places.append(at + base)
-        read.append((own, a.first + base, texts))
-        base += len(a.hashes)
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(hashes, np.uint64), join(ids, np.int64), join(starts, np.int64), join(places, np.int64), read
-
-
-def _earliest(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by hash, id and start; for each in that order, the index in it of its hash's first)."""
-    order = np.lexsort((starts, ids, hashes))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = hashes[order][1:] != hashes[order][:-1]
-    return order, np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    def __init__(self, docs: pa.Table, window: int, gram: int, shared: np.ndarray | None = None):
+        docs = docs.combine_chunks()
+        text = docs.column("text").chunk(0) if docs.num_rows else pa.array([], pa.string())
+        own_ids = docs.column("doc_id").to_numpy()
+        self.pieces = []  # (ids, first word of each text, texts)
+        hashes, ids, starts, places, base = [], [], [], [], 0
+        for first, after, texts in pieces(text):
+            a = Anchored(Words(texts), window, gram)
+            at = np.flatnonzero(a.valid) if shared is None else a.shared_windows(shared)
+            rows = a.rows()[at]
+            hashes.append(run_hashes(a.hashes, window)[at])
+            ids.append(own_ids[first:after][rows])
+            starts.append(at - a.first[rows])
+            places.append(at + base)
+            self.pieces.append((own_ids[first:after], a.first + base, texts))
+            base += len(a.hashes)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.hashes, self.ids, self.starts, self.places = join(hashes, np.uint64), join(ids, np.int64), join(starts, np.int64), join(places, np.int64)
+        self.n_words = base
+        #: Windows by hash, id and start; and where in that order each one's hash begins.
+        self.order = np.lexsort((self.starts, self.ids, self.hashes))
+        fresh = np.ones(len(self.order), bool)
+        fresh[1:] = self.hashes[self.order][1:] != self.hashes[self.order][:-1]
+        self.leader = np.maximum.accumulate(np.where(fresh, np.arange(len(self.order)), 0))
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = GRAM) -> DataFrame:
@@ -155,45 +149,38 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     in a smaller id, or in the same document. Null texts have no words. Rows
     that repeat an id and text are one document: neither is earlier. Null ids
     stand before all others and count as one. Other columns play no part; an
-    empty table gives no rows.
+    empty table gives no rows. Runs are compared by 64-bit hashes.
     """
-    rows = bucketed(docs, id_col, text_col)
-    by_anchor = Window.partitionBy("anchor")
-    found = anchors(rows, window, gram).withColumn("n", F.count(F.lit(1)).over(by_anchor)).withColumn("any", F.max("several").over(by_anchor))
-    shared = found.where("n > 1 OR any").select("bucket", "anchor")
+    rows, bucket_of = bucketed(docs, id_col, text_col)
+    found = anchors(rows, window, gram).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
+    shared = found.where("n > 1").select("bucket", "anchor")
 
     def candidates(docs_: pa.Table, shared_: pa.Table) -> pa.Table:
-        hashes, ids, starts, _, _ = _windows(docs_, shared_, window, gram)
-        order, leader = _earliest(hashes, ids, starts)
-        lead = order[np.unique(leader)]
-        bucket = docs_.column("bucket")[0].as_py() if docs_.num_rows else 0
-        return pa.table({"hash": hashes[lead].view(np.int64), "bucket": np.full(len(lead), bucket, np.int64), "doc_id": ids[lead], "start": starts[lead].astype(np.int32)})
+        """The first occurrence in the bucket of each window that may stand in others."""
+        b = Bucket(docs_, window, gram, np.sort(shared_.column("anchor").to_numpy().view(np.uint64)))
+        lead = b.order[np.unique(b.leader)]
+        return pa.table({"hash": b.hashes[lead].view(np.int64), "doc_id": b.ids[lead], "start": b.starts[lead].astype(np.int32)})
 
     by_bucket = rows.groupBy("bucket")
-    windows = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(candidates, "hash long, bucket long, doc_id long, start int")
+    windows = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(candidates, "hash long, doc_id long, start int")
     first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("hash"))
-    late = windows.withColumn("first", first).where("doc_id <> first.doc_id OR start <> first.start").select("bucket", "hash")
-
-    both = shared.select("bucket", "anchor", F.lit(None).cast("long").alias("hash")).unionByName(late.select("bucket", F.lit(None).cast("long").alias("anchor"), "hash"))
+    late = windows.withColumn("first", first).where("doc_id <> first.doc_id OR start <> first.start").select(bucket_of.alias("bucket"), "hash")
 
-    def cut(docs_: pa.Table, marks: pa.Table) -> pa.Table:
-        seeds = marks.filter(marks.column("anchor").is_valid())
-        gone = np.sort(marks.column("hash").drop_null().to_numpy())
-        hashes, ids, starts, places, read = _windows(docs_, seeds, window, gram)
-        order, leader = _earliest(hashes, ids, starts)
-        ranked_ids, ranked_starts = ids[order], starts[order]
-        later = (ranked_ids != ranked_ids[leader]) | (ranked_starts != ranked_starts[leader])
+    def cut(docs_: pa.Table, late_: pa.Table) -> pa.Table:
+        b = Bucket(docs_, window, gram)
+        gone = np.sort(late_.column("hash").to_numpy())
+        ids, starts = b.ids[b.order], b.starts[b.order]
+        later = (ids != ids[b.leader]) | (starts != starts[b.leader])
         if len(gone):
-            signed = hashes[order].view(np.int64)
+            signed = b.hashes[b.order].view(np.int64)
             later |= gone[np.minimum(np.searchsorted(gone, signed), len(gone) - 1)] == signed
-        total = sum(int(f[-1] - f[0]) for _, f, _ in read)
-        edge = np.zeros(total + 1, np.int64)
-        at = places[order[later]]
+        edge = np.zeros(b.n_words + 1, np.int64)
+        at = b.places[b.order[later]]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
-        goes = np.cumsum(edge)[:total] > 0
+        goes = np.cumsum(edge)[: b.n_words] > 0
         out_ids, counts, spans, kept = [], [], [], []
-        for own, first_, texts in read:
+        for own, first_, texts in b.pieces:
             for i in range(texts.n):
                 mask = goes[first_[i] : first_[i + 1]]
                 words = texts.row(i).split()
@@ -207,4 +194,4 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return by_bucket.cogroup(both.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept string")
+    return by_bucket.cogroup(late.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept string")
