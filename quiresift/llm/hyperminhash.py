@@ -7,13 +7,17 @@ names, so short texts compare as long ones do. Bands of four registers bring
 candidates together: two sets of similarity 0.8 share none of the 32 bands with
 probability 5e-8. Candidates whose registers, corrected for chance
 collisions, speak of a far lower similarity go; the rest are compared on their
-full sets.
-
-Sets that are equal are one class from the start. A class is first compared
-with the leader (smallest id) that most of its bands name; pairs of one band
-that are still in different components are compared after that, so no link
-between components is passed over.
-"""
+full sets. Sets that are equal are one class from the start.
+
+The sets of a band are never paired with each other one by one. Each is
+compared with the band's leader, the set with the most company over all bands.
+With D the difference from the leader, two sets x and y are similar enough only
+if |Dx & Dy| >= (|Dx| + |Dy| - t (|x| + |y|)) / 2, t = (1 - s) / (1 + s). Two
+linked with the leader are in one component already; for all others this is
+more than 0, so they meet in a join on prefixes of their differences, rare
+shingles first. Sets far from the leader can, by the triangle inequality of
+Jaccard's distance, be similar only to others nearly as far; those are paired.
+So no link between different components is passed over."""
 
 from __future__ import annotations
 
@@ -38,6 +42,8 @@ PROBES = 256
 LEAST_SHINGLES = 4
 #: Candidates go if their registers estimate this much below the threshold: seven standard deviations of 128 registers.
 MARGIN = 0.25
+#: Similarity to a leader under which a set is far from it; and the estimate, six standard deviations lower, under which it is not compared.
+FAR, LEAST_LIKELY = 0.3, 0.1
 SINGLE = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -143,9 +149,8 @@ def band_keys(registers_: Column) -> Column:
     return F.array(*[F.xxhash64(F.substring(registers_, 1 + width * b, width), F.lit(b)) for b in range(BUCKETS // BAND)])
 
 
-def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose registers do not speak against ``threshold``."""
-    least = threshold - MARGIN
+def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (a, b) whose registers estimate a similarity of at least ``least``."""
 
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -157,24 +162,81 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return joined.where(near(F.col("ra"), F.col("rb"))).select("a", "b")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union, on the full sets of ``texts`` (doc_id, text)."""
+def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, leads: bool = False) -> DataFrame:
+    """(a, b, linked, similarity, marks) of ``pairs`` (a, b), on the full sets of ``texts`` (doc_id, text).
+
+    linked: 100 * intersection >= percent * union. marks, with ``leads``: a is
+    a leader; shingles of the difference by which b meets others of the leader,
+    as (shingle, role). Shingles that the leader lacks stand before those that
+    b lacks, and a prefix of them is enough. Roles: 0 of linked sets; 1 and 2 of
+    others, to meet linked ones; 2 to meet each other.
+    """
+    t = (100 - percent) / (100 + percent)
+
+    def marks_of(x: np.ndarray, c: np.ndarray, linked: bool) -> tuple[np.ndarray, np.ndarray]:
+        own, lacked = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+        order = np.concatenate([own, lacked])
+        n = len(order)
+        upto = lambda overlap: max(0, n - max(1, int(np.ceil(overlap - 1e-9))) + 1)
+        if linked:
+            held = upto((n + t * (len(c) - len(x))) / 2)
+            return order[:held], np.zeros(held, np.int8)
+        held, each_other = upto((n - t * (len(x) + len(c))) / 2), upto((n + t * (len(c) - len(x))) / 2)
+        held = max(held, each_other)
+        return order[:held], np.where(np.arange(held) < each_other, 2, 1).astype(np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = pa.struct([("shingle", pa.int64()), ("role", pa.int8())])
         for batch in batches:
-            keep_ = np.zeros(batch.num_rows, bool)
-            for first, after, one in pieces(batch.column("ta")):
+            for first, after, one in pieces(batch.column("ta"), most_rows=256):
                 two = texts_of(batch.column("tb").slice(first, after - first))
                 (va, fa), (vb, fb) = shingle_sets(one, shingle), shingle_sets(two, shingle)
+                linked, similar, offsets, values, roles = [], [], [0], [], []
                 for i in range(after - first):
-                    x, y = va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep_[first + i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep_))
+                    c, x = va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]
+                    both = len(np.intersect1d(c, x, assume_unique=True))
+                    either = len(c) + len(x) - both
+                    linked.append(both > 0 and 100 * both >= percent * either)
+                    similar.append(both / max(either, 1))
+                    if leads and similar[-1] >= FAR:
+                        held, role = marks_of(x, c, linked[-1])
+                        values.append(held.view(np.int64))
+                        roles.append(role)
+                    offsets.append(offsets[-1] + (len(values[-1]) if leads and similar[-1] >= FAR else 0))
+                empty = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+                marks = pa.StructArray.from_arrays([pa.array(np.concatenate(values or empty[0])), pa.array(np.concatenate(roles or empty[1]))], fields=list(mark))
+                columns = [batch.column("a").slice(first, after - first), batch.column("b").slice(first, after - first), pa.array(linked, pa.bool_()), pa.array(similar, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), marks)]
+                yield pa.record_batch(columns, names=["a", "b", "linked", "similarity", "marks"])
 
     joined = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, linked boolean, similarity double, marks array<struct<shingle: long, role: byte>>")
+
+
+def led(bands: DataFrame) -> DataFrame:
+    """(band, rep, leader) of bands with company; the leader is the member with the most company over its bands, then the smallest."""
+    shared = keep(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"), "shared-bands")
+    company = shared.groupBy("rep").agg(F.sum("n").alias("company"))
+    best = shared.join(company, "rep").groupBy("band").agg(F.max(F.struct("company", (-F.col("rep")).alias("back"))).alias("best"))
+    return keep(shared.select("band", "rep").join(best.select("band", (-F.col("best.back")).alias("leader")), "band"), "band-members")
+
+
+def unpaired(members: DataFrame, asked: DataFrame, star: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a band, neither its leader, that may be linked though not both are with the leader."""
+    marked = star.where(F.size("marks") > 0).select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.explode("marks").alias("m")).select("leader", "rep", "m.shingle", "m.role")
+    open_ = star.where(f"NOT linked AND similarity >= {FAR}").select(F.col("a").alias("leader")).distinct()
+    marked = marked.join(open_, "leader", "left_semi")
+    one, two = marked.where("role > 0").withColumnsRenamed({"rep": "x", "role": "rx"}), marked.where("role <> 1").withColumnsRenamed({"rep": "y", "role": "ry"})
+    met = one.join(two, ["leader", "shingle"]).where("ry = 0 OR (rx = 2 AND ry = 2 AND x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    # Far from the leader, or not compared with it at all: paired with all that are nearly as far.
+    told = asked.join(star.select("a", "b", "similarity"), ["a", "b"], "left").select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    outer = members.join(told.where(F.col("similarity") < FAR + (100 - percent) / 100 + 1e-9), ["leader", "rep"]).join(sizes, "rep").withColumn("far", F.col("similarity") < FAR)
+    far = outer.where("far").select("band", F.col("rep").alias("x"), F.col("n_shingles").alias("nx"))
+    others = outer.select("band", F.col("rep").alias("y"), F.col("n_shingles").alias("ny"), "far")
+    sized = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    paired = far.join(others, "band").where(sized & F.expr("x < y OR (x > y AND NOT far)")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return met.union(paired).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -199,26 +261,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     long = sketches.where(F.col("n_shingles") >= LEAST_SHINGLES).select("doc_id", "registers")
     classes = keep(reps.where(F.col("n_shingles") >= LEAST_SHINGLES).select("rep").distinct().join(long.dropDuplicates(["doc_id"]), F.col("rep") == F.col("doc_id")).select("rep", "registers"), "classes")
 
-    bands = keep(classes.select("rep", F.explode(band_keys(F.col("registers"))).alias("band")), "bands")
-    leaders = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    members = keep(bands.join(leaders, "band").select("band", "rep", "leader"), "band-members")
-    asked = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = asked.groupBy("rep").agg(F.max(F.struct("n", (-F.col("leader")).alias("back"))).alias("best"))
-    first = keep(likely(best.select((-F.col("best.back")).alias("a"), F.col("rep").alias("b")), classes, percent / 100), "first-pairs")
-
-    wanted = members.select("rep").distinct()
-    texts = keep(base.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"), "candidate-texts")
-    links = keep(verify(first, texts, shingle, percent), "first-links")
+    bands = classes.select("rep", F.explode(band_keys(F.col("registers"))).alias("band"))
+    members = led(bands)
+    asked = keep(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "asked")
+    texts = keep(base.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"), "candidate-texts")
+    star = keep(compare(likely(asked, classes, LEAST_LIKELY), texts, shingle, percent, leads=True), "star")
+    links = star.where("linked").select("a", "b")
     found = components(links)
 
-    placed = members.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = keep(placed.join(mixed, "band"), "mixed-bands")
-    left, right = rest.select("band", F.col("rep").alias("a"), F.col("component").alias("ca")), rest.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    later = left.join(right, "band").where("a < b AND ca <> cb").select("a", "b").distinct().join(best.select((-F.col("best.back")).alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-    later = keep(likely(later, classes, percent / 100), "later-pairs")
+    sizes = reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    later = unpaired(members, asked, star, sizes, percent).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    later = later.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
+    later = keep(likely(later, classes, percent / 100 - MARGIN), "later-pairs")
     if not later.isEmpty():
-        more = keep(verify(later, texts, shingle, percent), "later-links")
+        more = keep(compare(later, texts, shingle, percent).where("linked").select("a", "b"), "later-links")
         if not more.isEmpty():
             found = components(links.union(more))
 
