@@ -290,6 +290,11 @@ def read_png(data: bytes) -> np.ndarray | None:
     return to_grey(pixels[:, :, :3] if pixels.shape[2] >= 3 else pixels[:, :, :1])
 
 
+def thumbnail(gray: np.ndarray, height: int = 300) -> bytes:
+    """A page as a small grey PNG of ``height`` lines."""
+    return write_png(np.clip(np.round(resize(gray, height, max(1, round(gray.shape[1] * height / gray.shape[0])))), 0, 255))
+
+
 def to_grey(rgb: np.ndarray) -> np.ndarray:
     """uint8 grey of (h, w, 1) or (h, w, 3 as red, green, blue)."""
     if rgb.shape[2] == 1:

@@ -184,6 +184,8 @@ def test_png_round_trip_and_crop():
     page = np.round(drawn(3)).astype(np.uint8)
     assert (image.read_png(image.write_png(page)) == page).all()
     assert image.decode(b"no image") is None and image.decode(None) is None and image.decode(image.write_png(page)[:60]) is None
+    small = image.read_png(image.thumbnail(page, 100))
+    assert small.shape == (100, 73) and abs(small.mean() - page.mean()) < 2
     framed = np.pad(page, 30, constant_values=10)
     top, bottom, left, right = image.bed_box(framed.astype(float))
     assert abs(top - 30) <= 2 and abs(bottom - 330) <= 2 and abs(left - 30) <= 2 and abs(right - 250) <= 2
