@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresift.llm.textbytes import Texts, Words, pieces, run_hashes, scramble, split_batches, texts_of
@@ -43,7 +43,7 @@ LEAST_SHINGLES = 4
 #: Candidates go if their registers estimate this much below the threshold: seven standard deviations of 128 registers.
 MARGIN = 0.25
 #: Similarity to a leader under which a set is far from it; and the estimate, six standard deviations lower, under which it is not compared.
-FAR, LEAST_LIKELY = 0.3, 0.1
+FAR, LEAST_LIKELY = 0.15, 0.02
 SINGLE = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -163,54 +163,34 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, leads: bool = False) -> DataFrame:
-    """(a, b, linked, similarity, marks) of ``pairs`` (a, b), on the full sets of ``texts`` (doc_id, text).
+    """(a, b, linked, similarity, size_a, size_b, differ) of ``pairs`` (a, b), on the full sets of ``texts`` (doc_id, text).
 
-    linked: 100 * intersection >= percent * union. marks, with ``leads``: a is
-    a leader; shingles of the difference by which b meets others of the leader,
-    as (shingle, role). Shingles that the leader lacks stand before those that
-    b lacks, and a prefix of them is enough. Roles: 0 of linked sets; 1 and 2 of
-    others, to meet linked ones; 2 to meet each other.
+    linked: 100 * intersection >= percent * union. differ: with ``leads``, the
+    shingles that one of the two lacks, unless they are far from each other.
     """
-    t = (100 - percent) / (100 + percent)
-
-    def marks_of(x: np.ndarray, c: np.ndarray, linked: bool) -> tuple[np.ndarray, np.ndarray]:
-        own, lacked = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
-        order = np.concatenate([own, lacked])
-        n = len(order)
-        upto = lambda overlap: max(0, n - max(1, int(np.ceil(overlap - 1e-9))) + 1)
-        if linked:
-            held = upto((n + t * (len(c) - len(x))) / 2)
-            return order[:held], np.zeros(held, np.int8)
-        held, each_other = upto((n - t * (len(x) + len(c))) / 2), upto((n + t * (len(c) - len(x))) / 2)
-        held = max(held, each_other)
-        return order[:held], np.where(np.arange(held) < each_other, 2, 1).astype(np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = pa.struct([("shingle", pa.int64()), ("role", pa.int8())])
         for batch in batches:
             for first, after, one in pieces(batch.column("ta"), most_rows=256):
                 two = texts_of(batch.column("tb").slice(first, after - first))
                 (va, fa), (vb, fb) = shingle_sets(one, shingle), shingle_sets(two, shingle)
-                linked, similar, offsets, values, roles = [], [], [0], [], []
+                linked, similar, ends, values = [], [], [0], [np.zeros(0, np.int64)]
                 for i in range(after - first):
-                    c, x = va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]
-                    both = len(np.intersect1d(c, x, assume_unique=True))
-                    either = len(c) + len(x) - both
+                    x, y = va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]
+                    differ = np.setxor1d(x, y, assume_unique=True)
+                    both, either = (len(x) + len(y) - len(differ)) // 2, (len(x) + len(y) + len(differ)) // 2
                     linked.append(both > 0 and 100 * both >= percent * either)
                     similar.append(both / max(either, 1))
                     if leads and similar[-1] >= FAR:
-                        held, role = marks_of(x, c, linked[-1])
-                        values.append(held.view(np.int64))
-                        roles.append(role)
-                    offsets.append(offsets[-1] + (len(values[-1]) if leads and similar[-1] >= FAR else 0))
-                empty = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
-                marks = pa.StructArray.from_arrays([pa.array(np.concatenate(values or empty[0])), pa.array(np.concatenate(roles or empty[1]))], fields=list(mark))
-                columns = [batch.column("a").slice(first, after - first), batch.column("b").slice(first, after - first), pa.array(linked, pa.bool_()), pa.array(similar, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), marks)]
-                yield pa.record_batch(columns, names=["a", "b", "linked", "similarity", "marks"])
+                        values.append(differ.view(np.int64))
+                    ends.append(ends[-1] + (len(differ) if leads and similar[-1] >= FAR else 0))
+                columns = [batch.column("a").slice(first, after - first), batch.column("b").slice(first, after - first), pa.array(linked, pa.bool_()), pa.array(similar, pa.float64())]
+                columns += [pa.array(np.diff(fa), pa.int64()), pa.array(np.diff(fb), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))]
+                yield pa.record_batch(columns, names=["a", "b", "linked", "similarity", "size_a", "size_b", "differ"])
 
     joined = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, linked boolean, similarity double, marks array<struct<shingle: long, role: byte>>")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, linked boolean, similarity double, size_a long, size_b long, differ array<long>")
 
 
 def led(bands: DataFrame) -> DataFrame:
@@ -222,10 +202,24 @@ def led(bands: DataFrame) -> DataFrame:
 
 
 def unpaired(members: DataFrame, asked: DataFrame, star: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a band, neither its leader, that may be linked though not both are with the leader."""
-    marked = star.where(F.size("marks") > 0).select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.explode("marks").alias("m")).select("leader", "rep", "m.shingle", "m.role")
-    open_ = star.where(f"NOT linked AND similarity >= {FAR}").select(F.col("a").alias("leader")).distinct()
-    marked = marked.join(open_, "leader", "left_semi")
+    """(a, b): pairs of a band, neither its leader, that may be linked though not both are with the leader.
+
+    star: compare() of leaders a with sets b. Differences from a leader are
+    ordered by how many of its sets have them. Role 0 marks those of linked
+    sets; 1 and 2 those of others by which they meet linked ones; 2 those by
+    which they meet each other.
+    """
+    t = (100 - percent) / (100 + percent)
+    near = star.where(F.col("similarity") >= FAR)
+    open_ = near.where("NOT linked").select("a").distinct()
+    rows = near.join(open_, "a", "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", F.size("differ").alias("n"), F.col("size_b").alias("own"), F.col("size_a").alias("led"), F.explode("differ").alias("shingle"))
+    counted = rows.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("times"))
+    ranked = rows.join(counted, ["leader", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("leader", "rep").orderBy("times", "shingle")))
+    upto = lambda overlap: F.col("n") - F.greatest(F.lit(1), F.ceil(overlap - 1e-9)) + 1
+    mutual = upto((F.col("n") + F.lit(t) * (F.col("led") - F.col("own"))) / 2)
+    to_linked = F.greatest(mutual, upto((F.col("n") - F.lit(t) * (F.col("own") + F.col("led"))) / 2))
+    role = F.when(F.col("linked"), F.when(F.col("rank") <= mutual, 0)).when(F.col("rank") <= mutual, 2).when(F.col("rank") <= to_linked, 1)
+    marked = ranked.withColumn("role", role).where("role IS NOT NULL AND times > 1").select("leader", "rep", "shingle", "role")
     one, two = marked.where("role > 0").withColumnsRenamed({"rep": "x", "role": "rx"}), marked.where("role <> 1").withColumnsRenamed({"rep": "y", "role": "ry"})
     met = one.join(two, ["leader", "shingle"]).where("ry = 0 OR (rx = 2 AND ry = 2 AND x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
