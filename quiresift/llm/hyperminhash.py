@@ -219,9 +219,17 @@ def unpaired(members: DataFrame, asked: DataFrame, star: DataFrame, sizes: DataF
     mutual = upto((F.col("n") + F.lit(t) * (F.col("led") - F.col("own"))) / 2)
     to_linked = F.greatest(mutual, upto((F.col("n") - F.lit(t) * (F.col("own") + F.col("led"))) / 2))
     role = F.when(F.col("linked"), F.when(F.col("rank") <= mutual, 0)).when(F.col("rank") <= mutual, 2).when(F.col("rank") <= to_linked, 1)
-    marked = ranked.withColumn("role", role).where("role IS NOT NULL AND times > 1").select("leader", "rep", "shingle", "role")
-    one, two = marked.where("role > 0").withColumnsRenamed({"rep": "x", "role": "rx"}), marked.where("role <> 1").withColumnsRenamed({"rep": "y", "role": "ry"})
-    met = one.join(two, ["leader", "shingle"]).where("ry = 0 OR (rx = 2 AND ry = 2 AND x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    held = lambda upto_: F.greatest(F.lit(0), F.least(upto_, F.col("n")))
+    marked = ranked.withColumn("role", role).withColumn("mutual", held(mutual)).withColumn("to_linked", held(to_linked)).where("role IS NOT NULL AND times > 1")
+    marked = marked.select("leader", "shingle", "rep", "role", "n", "own", "mutual", "to_linked")
+    side = lambda k: marked.select("leader", "shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "role", "n", "own", "mutual", "to_linked")])
+    met = side("x").where("role_x > 0").join(side("y").where("role_y <> 1"), ["leader", "shingle"]).where("role_y = 0 OR (role_x = 2 AND role_y = 2 AND rep_x < rep_y)")
+    met = met.withColumn("prefix", F.when(F.col("role_y") == 0, F.col("to_linked_x")).otherwise(F.col("mutual_x")))
+    met = met.groupBy("leader", "rep_x", "rep_y", "n_x", "own_x", "prefix", "n_y", "own_y", "mutual_y").agg(F.count(F.lit(1)).alias("met"))
+    # What is not met in the prefixes is after the shorter one's end, and so in the rest of one of the two.
+    rest = F.greatest(F.col("n_x") - F.col("prefix"), F.col("n_y") - F.col("mutual_y"))
+    met = met.where(F.col("met") + rest >= (F.col("n_x") + F.col("n_y") - F.lit(t) * (F.col("own_x") + F.col("own_y"))) / 2 - 1e-9)
+    met = met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
 
     # Far from the leader, or not compared with it at all: paired with all that are nearly as far.
     told = asked.join(star.select("a", "b", "similarity"), ["a", "b"], "left").select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
