@@ -126,18 +126,32 @@ class Machine:
         return np.round(1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30))), 9)
 
 
-def fit(texts: Sequence[str | None], labels: Sequence[int], rounds: int = 250, batch: int = 512, seed: int = 11) -> Machine:
+def fit(texts: Sequence[str | None] | pa.Array, labels: Sequence[int], rounds: int = 250, batch: int = 512, seed: int = 11) -> Machine:
     """Logistic loss, Adam steps over mini-batches, weight decay; without labels of both kinds a constant."""
     y = np.asarray(labels, np.float32)
     if not len(y):
         return Machine(0.0, np.zeros(BINS + len(NAMES), np.float32), np.zeros((BINS + len(NAMES), RANK), np.float32), np.zeros(len(NAMES), np.float32), np.ones(len(NAMES), np.float32))
-    parts = [inputs(t) for _, _, t in pieces(pa.array(texts, pa.string()))]
-    hashed, structure = np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
+    # Hashed words are held sparse; a mini-batch is made dense when it is used.
+    parts, structures = [], []
+    for _, _, t in pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), most_rows=256):
+        hashed, structure = inputs(t)
+        row, column = np.nonzero(hashed)
+        parts.append((np.searchsorted(row, np.arange(t.n + 1)), column.astype(np.int16), hashed[row, column]))
+        structures.append(structure)
+    structure = np.vstack(structures)
+    counts = np.concatenate([np.diff(p[0]) for p in parts])
+    first, columns, values = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     machine = Machine(0.0, np.zeros(BINS + len(NAMES), np.float32), np.zeros((BINS + len(NAMES), RANK), np.float32), structure.mean(0), np.maximum(structure.std(0), 1e-3))
+
+    def dense(take: np.ndarray) -> np.ndarray:
+        hashed = np.zeros((len(take), BINS), np.float32)
+        for k, i in enumerate(take):
+            hashed[k, columns[first[i] : first[i + 1]]] = values[first[i] : first[i + 1]]
+        return machine.design(hashed, structure[take])
+
     if y.min() == y.max():
         machine.w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return machine
-    x = machine.design(hashed, structure)
     rng = np.random.default_rng(seed)
     machine.v = rng.normal(0, 0.02, machine.v.shape).astype(np.float32)
     machine.w0 = float(np.log(y.mean() / (1 - y.mean())))
@@ -148,7 +162,7 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], rounds: int = 250, b
             order, at = rng.permutation(len(y)), 0
         take = order[at : at + batch]
         at += batch
-        xb = x[take]
+        xb = dense(take)
         xv = xb @ machine.v
         margin = machine.w0 + xb @ machine.w + 0.5 * ((xv**2).sum(1) - (xb**2) @ (machine.v**2).sum(1))
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[take]) / len(take)
@@ -169,8 +183,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id
     rows = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["id"])
     drawn = F.broadcast(sample_ids(rows, per_class, 2))
     found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(drawn, "id").select("id", "text", "label").toArrow()
-    held = sorted(zip(found["id"].to_pylist(), found["text"].to_pylist(), found["label"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or "", r[2]))
-    return fit([r[1] for r in held], [r[2] for r in held])
+    found = found.sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
+    texts = found["text"].chunk(0) if found.num_rows else pa.array([], pa.string())
+    return fit(texts, found["label"].to_pylist())
 
 
 def score_column(machine: Machine, text: Column, spark) -> Column:
