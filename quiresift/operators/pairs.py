@@ -39,6 +39,28 @@ def overlapping(items: DataFrame, least: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= {least}").select("a", "b")
 
 
+def worth_asking(items: DataFrame, books: DataFrame, limits: Thresholds) -> DataFrame:
+    """(a, b), a < b: books that share enough items, one to one, for first_pass(): pre_min, or pre_ratio of the shorter book.
+
+    Exact by prefixes as overlapping(). What a pair needs is the lesser need of
+    its books, so a book has leads for each need up to its own.
+    """
+    need = F.greatest(F.lit(1), F.least(F.lit(limits.pre_min), F.ceil(F.lit(limits.pre_ratio) * F.col("usable") - F.lit(1e-9)))).cast("int")
+    turn = F.row_number().over(Window.partitionBy("book", "item").orderBy("idx"))
+    tokens = items.select("book", "item", turn.alias("turn"))
+    frequency = tokens.groupBy("item", "turn").agg(F.count(F.lit(1)).alias("books")).where("books > 1")
+    by_rarity = Window.partitionBy("book").orderBy("books", "item", "turn")
+    placed = tokens.join(frequency, ["item", "turn"]).join(books.select("book", need.alias("need")), "book")
+    placed = placed.select("book", "item", "turn", "need", F.row_number().over(by_rarity).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("book")).alias("n"))
+    leads = placed.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("need")))).where("place <= n - (k - 1)").select("book", "item", "turn", "k", "need")
+    a, b = (leads.withColumnsRenamed({"book": s, "need": f"need_{s}"}) for s in "ab")
+    asked = a.join(b, ["item", "turn", "k"]).where("a < b AND least(need_a, need_b) = k").select("a", "b", "k").distinct()
+    own = placed.select("book", "item", "turn")
+    both = asked.where("k > 1").join(own.withColumnRenamed("book", "a"), "a").join(own.withColumnRenamed("book", "b"), ["b", "item", "turn"])
+    enough = both.groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("shared")).where("shared >= k")
+    return asked.where("k = 1").select("a", "b").union(enough.select("a", "b"))
+
+
 def equal_cells(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, cells): for each of ``pairs`` the places (a_idx, b_idx, score 1) of equal items."""
     a, b = items.select(F.col("book").alias("a"), F.col("idx").alias("a_idx"), "item"), items.select(F.col("book").alias("b"), F.col("idx").alias("b_idx"), "item")

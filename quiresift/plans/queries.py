@@ -350,6 +350,17 @@ def prefilter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passed.select("a", "b", *[F.col(c).cast("long").alias(c) for c in ("rough", "n_match", "chain")])
 
 
+ANY_OVERLAP = OVERLAP.replace(" HAVING count(*) >= 3", "")
+
+
+@query(f"WITH {ANY_OVERLAP} SELECT a, b, rough, n_match, chain FROM sc WHERE (rough >= 3 OR rough >= 0.2 * span) AND (n_match >= 3 OR n_match >= 0.2 * span) AND (chain >= 3 OR chain >= 0.2 * span)")
+def prefilter_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prefilter_pairs over all pairs: short documents pass by their share of one or two lines."""
+    items, books = tables.document_items(spark, sf_dir), tables.document_books(spark, sf_dir)
+    passed = pairs.first_pass(pairs.equal_cells(items, pairs.worth_asking(items, books, FIRST)), books, FIRST)
+    return passed.select("a", "b", *[F.col(c).cast("long").alias(c) for c in ("rough", "n_match", "chain")])
+
+
 @query(f"WITH {OVERLAP} SELECT a, b, n_match, chain, round(ratio, 6) AS ratio, score FROM ok")
 def pair_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = document_pairs(spark, sf_dir)
