@@ -503,6 +503,25 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(events.where("event_id < 2000").select(*row(500)), events.where("event_id >= 1500 AND event_id < 4000").select(*row(700)))
 
 
+@query(
+    """
+WITH e AS (SELECT user_id AS path, ts, event_id, event_type AS status, epoch_us(ts) AS t FROM events
+), s AS (SELECT min(t) AS lo, max(t) AS hi FROM e
+), a AS (SELECT e.*, 0 AS n FROM e, s WHERE 5 * (t - lo) <= 3 * (hi - lo) UNION ALL SELECT e.*, 1 FROM e, s WHERE 5 * (t - lo) >= 2 * (hi - lo))
+SELECT path, ts, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC, n DESC) AS r FROM a) WHERE r = 1
+"""
+)
+def store_upsert_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' last events: a store of the first three fifths of the time, and a scan of the last three."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.struct("ts", "event_id").alias("scanned_at"), F.col("event_type").alias("status"), t.alias("t"))
+    span = rows.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    stored = rows.where(5 * (F.col("t") - lo) <= 3 * (hi - lo)).drop("t")
+    new = rows.where(5 * (F.col("t") - lo) >= 2 * (hi - lo)).drop("t")
+    return store.upsert(stored, new).select("path", "scanned_at.ts", "scanned_at.event_id", "status")
+
+
 @query(
     """
 WITH c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)

@@ -29,3 +29,15 @@ def test_first_pass_asks_short_books(spark, seed):
     books = spark.createDataFrame([(b, n, n) for b, n in size.items()], "book long, pages int, usable int")
     got = pairs.worth_asking(spark.createDataFrame(items, "book long, idx int, item long"), books, Thresholds(pre_min=3))
     assert rows(got) == sorted(want, key=str)
+
+
+def test_upsert_reads_all_events(spark, tmp_path):
+    rng = random.Random(3)
+    events = [(5000 + i, rng.randrange(10**6), rng.randrange(40), rng.choice("abc")) for i in range(600)]
+    df = spark.createDataFrame(events, "event_id long, s long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    last = {}
+    for e, s, u, kind in events:
+        last[u] = max(last.get(u, (0, 0, "")), (s, e, kind))
+    got = {r.path: (int(r.ts.timestamp()), r.event_id, r.status) for r in queries.store_upsert_all_events(spark, str(tmp_path)).selectExpr("path", "ts", "event_id", "status").collect()}
+    assert {u: x[1:] for u, x in got.items()} == {u: x[1:] for u, x in last.items()}
