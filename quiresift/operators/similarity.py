@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresift.functions.vectors import hamming
@@ -55,6 +55,74 @@ def similar_vectors(vectors: DataFrame, least: float, block: int = BLOCK) -> Dat
     return rows.groupBy("low", "high").applyInPandas(product, f"a_book {book}, a_idx {idx}, b_book {book}, b_idx {idx}, score double")
 
 
+def _every_score(vectors: DataFrame, told, schema: str, block: int) -> DataFrame:
+    """Rows of ``told(same, score)``, a frame, for the scores of each block pair; every pair of pages is in one."""
+    blocks = max(1, -(-vectors.count() // block))
+    dealt = vectors.select("book", "vector", F.pmod(F.xxhash64("book", "idx"), F.lit(blocks)).cast("int").alias("block"))
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("book", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        left, right = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
+        out = []
+        if len(left) and len(right):
+            lv, rv = _units(left["vector"]), _units(right["vector"])
+            lb, rb = left["book"].to_numpy(), right["book"].to_numpy()
+            for at in range(0, len(lv), 512):
+                score, same = lv[at : at + 512] @ rv.T, lb[at : at + 512, None] == rb[None, :]
+                # Within a block each pair is taken once.
+                once = np.arange(len(rv))[None, :] > np.arange(at, at + len(score))[:, None] if low == high else np.ones_like(same)
+                out.append(told(same[once], score[once]))
+        return pd.concat(out) if out else told(np.zeros(0, bool), np.zeros(0))
+
+    return rows.groupBy("low", "high").applyInPandas(product, schema)
+
+
+def score_percentiles(vectors: DataFrame, shares: dict[str, float], block: int = BLOCK, bins: int = 20_000) -> DataFrame:
+    """(kind, n, least, a column for each of ``shares``, greatest): exact distribution of the centred cosine over all pairs of pages, "same" and "different" books.
+
+    vectors: (book, idx, vector), books not null. Blocks count their scores in bins; then only
+    scores of the bins that hold a percentile are gathered, so none sees all pairs.
+    """
+    bin_of = lambda score: np.clip(((score + 1) * (bins / 2)).astype(np.int64), 0, bins - 1)
+
+    def counted(same: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        rows = pd.DataFrame({"same": same, "bin": bin_of(score), "score": score})
+        return rows.groupby(["same", "bin"], as_index=False).agg(n=("score", "size"), least=("score", "min"), greatest=("score", "max"))
+
+    sums = _every_score(vectors, counted, "same boolean, bin long, n long, least double, greatest double", block).groupBy("same", "bin")
+    held = sums.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")).toPandas().sort_values("bin")
+    wanted: dict[tuple[bool, int], list] = {}  # of a bin, (name, place in the bin, weight)
+    told = {}
+    for same, of in held.groupby("same"):
+        ends = of["n"].cumsum().to_numpy()
+        told[same] = {"n": int(ends[-1]), "least": of["least"].min(), "greatest": of["greatest"].max()} | dict.fromkeys(shares, 0.0)
+        for name, share in shares.items():
+            place = share * (ends[-1] - 1)
+            for rank, weight in ((int(place), 1 - place % 1), (int(place) + 1, place % 1)):
+                if weight:
+                    k = int(np.searchsorted(ends, rank, "right"))
+                    wanted.setdefault((bool(same), int(of["bin"].iloc[k])), []).append((name, rank - int(ends[k] - of["n"].iloc[k]), weight))
+    keys = np.array([k * 2 + same for same, k in wanted], np.int64)
+
+    def chosen(same: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        key = bin_of(score) * 2 + same
+        hit = np.isin(key, keys)
+        return pd.DataFrame({"key": key[hit], "score": score[hit]})
+
+    if wanted:
+        near = _every_score(vectors, chosen, "key long, score double", block)
+        ranks = F.array(*[F.struct(F.lit(k * 2 + same).cast("long").alias("key"), F.lit(r).cast("long").alias("rank")) for (same, k), at in wanted.items() for r in sorted({r for _, r, _ in at})])
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("score")) - 1).where(F.array_contains(ranks, F.struct("key", F.col("rank").cast("long").alias("rank"))))
+        found = {(r["key"], r["rank"]): r["score"] for r in ranked.collect()}
+        for (same, k), at in wanted.items():
+            for name, rank, weight in at:
+                told[same][name] += weight * found[k * 2 + same, rank]
+    names = ["least", *shares, "greatest"]
+    rows = [("same" if same else "different", of["n"], *[float(of[c]) for c in names]) for same, of in told.items()]
+    return vectors.sparkSession.createDataFrame(rows, "kind string, n long, " + ", ".join(f"{c} double" for c in names))
+
+
 def close_hashes(hashes: DataFrame, most: int, width: int = 63) -> DataFrame:
     """(a_book, a_idx, b_book, b_idx, distance) of pages of different books, a_book < b_book, at most ``most`` bits apart.
 

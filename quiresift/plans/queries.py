@@ -289,6 +289,23 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("kind", "n", *[F.round(c, 6).alias(c) for c in ("least", "p5", "median", "p99", "greatest")])
 
 
+@query(
+    """
+WITH u AS (
+  SELECT label, vec_id, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS v
+  FROM (SELECT label, vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS c FROM embeddings)
+), s AS (
+  SELECT CASE WHEN a.label = b.label THEN 'same' ELSE 'different' END AS kind, list_inner_product(a.v, b.v) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id
+)
+SELECT kind, count(*) AS n, round(min(score), 6) AS least, round(quantile_cont(score, 0.05), 6) AS p5, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.99), 6) AS p99, round(max(score), 6) AS greatest FROM s GROUP BY kind
+"""
+)
+def calibration_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """calibration over every pair of vectors."""
+    told = similarity.score_percentiles(tables.embedding_pages(spark, sf_dir), {"p5": 0.05, "median": 0.5, "p99": 0.99})
+    return told.select("kind", "n", *[F.round(c, 6).alias(c) for c in ("least", "p5", "median", "p99", "greatest")])
+
+
 @query(
     """
 WITH pairs AS (SELECT a.vec_id AS a_idx, b.vec_id AS b_idx, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1

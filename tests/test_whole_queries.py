@@ -4,10 +4,11 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from quiresift.config import Thresholds
-from quiresift.operators import pairs
+from quiresift.operators import pairs, similarity
 from quiresift.plans import queries
 
 
@@ -41,3 +42,18 @@ def test_upsert_reads_all_events(spark, tmp_path):
         last[u] = max(last.get(u, (0, 0, "")), (s, e, kind))
     got = {r.path: (int(r.ts.timestamp()), r.event_id, r.status) for r in queries.store_upsert_all_events(spark, str(tmp_path)).selectExpr("path", "ts", "event_id", "status").collect()}
     assert {u: x[1:] for u, x in got.items()} == {u: x[1:] for u, x in last.items()}
+
+
+@pytest.mark.parametrize("block", [16, 1000])
+def test_percentiles_of_all_pairs(spark, block):
+    rng = np.random.default_rng(block)
+    vectors = rng.normal(size=(60, 8))
+    data = [(int(i % 4), 3 * i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(data, "book int, idx long, vector array<double>")
+    got = {r.kind: r for r in similarity.score_percentiles(df, {"p5": 0.05, "median": 0.5}, block, 50).collect()}
+    v = vectors - vectors.mean(1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for kind in ("same", "different"):
+        want = [v[i] @ v[j] for i in range(60) for j in range(i) if (i % 4 == j % 4) == (kind == "same")]
+        assert got[kind].n == len(want)
+        assert np.allclose(got[kind][2:], [min(want), *np.percentile(want, [5, 50]), max(want)])
