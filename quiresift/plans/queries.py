@@ -76,6 +76,24 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "host", (F.row_number().over(Window.partitionBy("host").orderBy("key", "page_id")) - 1).alias("idx"))
 
 
+@query(
+    r"""
+WITH n AS (
+  SELECT page_id, regexp_replace(split_part(coalesce(url, ''), '/', 3), '^(www|m|blog)\.', '') AS host, lower(regexp_replace(coalesce(url, ''), '^.*/', '')) AS base FROM pages
+), k AS (
+  SELECT *, list_transform(regexp_extract_all(base, '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(length(regexp_replace(p, '^0+(\d)', '\1'))::VARCHAR, 4, '0') || regexp_replace(p, '^0+(\d)', '\1') ELSE p END) AS parts FROM n
+)
+SELECT page_id, host, (row_number() OVER (PARTITION BY host ORDER BY CASE WHEN regexp_matches(base, '^\d') THEN list_concat([''], parts) ELSE parts END, page_id) - 1)::INT AS idx FROM k
+"""
+)
+def natural_order_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """natural_order of every page: names that are empty stand first, pages without a URL are of the host ''."""
+    url = F.coalesce("url", F.lit(""))
+    host = F.regexp_replace(F.coalesce(F.get(F.split(url, "/"), 2), F.lit("")), r"^(www|m|blog)\.", "")
+    pages = tables.read(spark, sf_dir, "pages").select("page_id", host.alias("host"), natural_key(url).alias("key"))
+    return pages.select("page_id", "host", (F.row_number().over(Window.partitionBy("host").orderBy("key", "page_id")) - 1).alias("idx"))
+
+
 @query(
     r"""
 WITH n AS (

@@ -57,3 +57,10 @@ def test_percentiles_of_all_pairs(spark, block):
         want = [v[i] @ v[j] for i in range(60) for j in range(i) if (i % 4 == j % 4) == (kind == "same")]
         assert got[kind].n == len(want)
         assert np.allclose(got[kind][2:], [min(want), *np.percentile(want, [5, 50]), max(want)])
+
+
+def test_order_has_every_page(spark, tmp_path):
+    data = [(1, "http://a.example/p10"), (2, "http://www.a.example/p9"), (3, "http://a.example/x/"), (4, "http://a.example/"), (5, None), (6, "nothing")]
+    spark.createDataFrame(data, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.natural_order_all_pages(spark, str(tmp_path))
+    assert rows(got) == [(1, "a.example", 3), (2, "a.example", 2), (3, "a.example", 0), (4, "a.example", 1), (5, "", 0), (6, "", 1)]
