@@ -590,6 +590,19 @@ def proxy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("expected", "found", "hit", "missed", "unsupported", F.round("recall", 6).alias("recall"), F.round("support", 6).alias("support"))
 
 
+@query(
+    f"""WITH {OVERLAP}, truth AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.lang = y.lang AND x.n_chars = y.n_chars AND x.text = y.text AND x.doc_id < y.doc_id
+), joined AS (SELECT t.a IS NOT NULL AS t, o.a IS NOT NULL AS f FROM truth t FULL JOIN (SELECT a, b FROM ok) o ON t.a = o.a AND t.b = o.b)
+SELECT count(*) FILTER (t) AS expected, count(*) FILTER (f) AS found, count(*) FILTER (t AND f) AS hit, count(*) FILTER (t AND NOT f) AS missed, count(*) FILTER (f AND NOT t) AS unsupported,
+  round(count(*) FILTER (t AND f) / nullif(count(*) FILTER (t), 0), 6) AS recall, round(count(*) FILTER (t AND f) / nullif(count(*) FILTER (f), 0), 6) AS support FROM joined"""
+)
+def proxy_recall_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """proxy_recall whose truth is equal texts, by a digest of all of them."""
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("digest"))
+    told = evaluate.recall(evaluate.pairs_of(docs, "doc_id", ["lang", "n_chars", "digest"]), document_pairs(spark, sf_dir))
+    return told.select("expected", "found", "hit", "missed", "unsupported", F.round("recall", 6).alias("recall"), F.round("support", 6).alias("support"))
+
+
 @query("SELECT event_id, ts, user_id, event_type, value FROM events")
 def event_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(spark, sf_dir, "events.parquet", "events").select("event_id", "ts", "user_id", "event_type", "value")

@@ -64,3 +64,10 @@ def test_order_has_every_page(spark, tmp_path):
     spark.createDataFrame(data, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = queries.natural_order_all_pages(spark, str(tmp_path))
     assert rows(got) == [(1, "a.example", 3), (2, "a.example", 2), (3, "a.example", 0), (4, "a.example", 1), (5, "", 0), (6, "", 1)]
+
+
+def test_truth_is_whole_texts(spark, tmp_path):
+    begin = "the same forty characters at the beginning of all: "
+    texts = [begin + "one", begin + "two", begin + "one"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.proxy_recall_whole_texts(spark, str(tmp_path)).first().expected == 1
