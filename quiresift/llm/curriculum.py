@@ -80,12 +80,13 @@ def mix(
     max_repeats: int = 2,
     bucket_rows: int = 1024,
 ) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, copies, position; sorted by position.
+    """One row a document: doc_id, source, size, source_size, target, taken, copies, position, positions; sorted by position.
 
     taken: words that the mix takes, repeats counted; a source's sum to its
     target without the fraction, as the last document of the stream is cut.
     copies: passes that take any of it. position: 0 to 1, null if nothing is
-    taken. slopes (-1 to 1): how a source's weight changes, in turn as weights.
+    taken. positions: one for each pass that takes words, the first as position.
+    slopes (-1 to 1): how a source's weight changes, in turn as weights.
 
     Null ids, texts and sources are values like others (size 0, one source of
     null); rows that repeat an id are documents of their own; empty tables give
@@ -113,10 +114,12 @@ def mix(
 
     wanted = F.floor("target")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), wanted - (F.col("start") + F.col("source_size") * e))) for e in range(max_repeats)]
+    at = lambda e: F.round(when_reached((F.col("start") + F.col("source_size") * e) / F.col("target"), F.col("slope")), 9)
     return (
         rows.withColumn("taken", sum(passes[1:], passes[0]).cast("long"))
         .withColumn("copies", sum([F.when(p > 0, 1).otherwise(0) for p in passes[1:]], F.when(passes[0] > 0, 1).otherwise(0)).cast("int"))
-        .withColumn("position", F.when(F.col("taken") > 0, F.round(when_reached(F.col("start") / F.col("target"), F.col("slope")), 9)))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
+        .withColumn("position", F.when(F.col("taken") > 0, at(0)))
+        .withColumn("positions", F.array_compact(F.array(*[F.when(p > 0, at(e)) for e, p in enumerate(passes)])))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "positions")
         .orderBy(F.asc_nulls_last("position"), "doc_id")
     )
