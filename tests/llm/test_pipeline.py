@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from cases import SPACED, as_rows, frame, rows, sentence
 from pyspark.sql import functions as F
-from test_operators import contamination, line_cut, near
+from test_llm_operators import contamination, line_cut, near
 
 from quiresift.llm import queries
 
