@@ -6,7 +6,7 @@ of mantissa; an empty bucket borrows from one that a fixed random sequence
 names, so short texts compare as long ones do. Bands of four registers bring
 candidates together: two sets of similarity 0.8 share none of the 32 bands with
 probability 5e-8. Candidates whose registers, corrected for chance
-collisions, speak of a far lower similarity go; the rest are compared on their
+collisions, speak of next to no similarity go; the rest are compared on their
 full sets. Sets that are equal are one class from the start.
 
 The sets of a band are never paired with each other one by one. Each is
@@ -14,10 +14,15 @@ compared with the band's leader, the set with the most company over all bands.
 With D the difference from the leader, two sets x and y are similar enough only
 if |Dx & Dy| >= (|Dx| + |Dy| - t (|x| + |y|)) / 2, t = (1 - s) / (1 + s). Two
 linked with the leader are in one component already; for all others this is
-more than 0, so they meet in a join on prefixes of their differences, rare
-shingles first. Sets far from the leader can, by the triangle inequality of
-Jaccard's distance, be similar only to others nearly as far; those are paired.
-So no link between different components is passed over."""
+more than 0. Sets are told apart by their distance from the leader; for each
+two classes of distance the least overlap that a link needs is held against the
+most that any of their sets can have, and where it is possible, sets meet by
+prefixes of their differences, the rarest shingles first, as long as they are
+of different components. Keys that many sets share take a second and third
+shingle. Sets far from the leader can, by the triangle inequality of Jaccard's
+distance, be similar only to others nearly as far; these meet in the same way
+by their differences from the empty set. So no link between different
+components is passed over, and no group's sets are all paired."""
 
 from __future__ import annotations
 
@@ -40,8 +45,6 @@ BAND = 4
 PROBES = 256
 #: A set that is not equal to one of fewer members cannot be 0.8 similar to it.
 LEAST_SHINGLES = 4
-#: Candidates go if their registers estimate this much below the threshold: seven standard deviations of 128 registers.
-MARGIN = 0.25
 #: Similarity to a leader under which a set is far from it; and the estimate, six standard deviations lower, under which it is not compared.
 FAR, LEAST_LIKELY = 0.15, 0.02
 SINGLE = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -114,10 +117,10 @@ def registers(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, set_1, set_2, registers): a set's size, 128 bits that tell sets apart, its registers (null for the empty set)."""
+    """(doc_id, text_key, n_shingles, set_1, set_2, registers) of (doc_id, text, text_key): a set's size, 128 bits that tell sets apart, its registers (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "set_1", "set_2", "registers"]
+        names = ["doc_id", "text_key", "n_shingles", "set_1", "set_2", "registers"]
         for batch, texts in split_batches(batches, "text"):
             values, first = shingle_sets(texts, shingle)
             sums = []
@@ -128,9 +131,9 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             held = registers(values, first)
             sizes = np.diff(first)
             rows = [held[i].tobytes() if sizes[i] else None for i in range(texts.n)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), *map(pa.array, sums), pa.array(rows, pa.binary())], names=names)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes.astype(np.int64)), *map(pa.array, sums), pa.array(rows, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_1 long, set_2 long, registers binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, set_1 long, set_2 long, registers binary")
 
 
 def estimate(matches: np.ndarray | float) -> np.ndarray | float:
@@ -162,11 +165,11 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.where(near(F.col("ra"), F.col("rb"))).select("a", "b")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, leads: bool = False) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b, linked, similarity, size_a, size_b, differ) of ``pairs`` (a, b), on the full sets of ``texts`` (doc_id, text).
 
-    linked: 100 * intersection >= percent * union. differ: with ``leads``, the
-    shingles that one of the two lacks, unless they are far from each other.
+    linked: 100 * intersection >= percent * union. differ: the shingles that
+    one of the two lacks, unless they are far from each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +184,9 @@ def compare(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, lead
                     both, either = (len(x) + len(y) - len(differ)) // 2, (len(x) + len(y) + len(differ)) // 2
                     linked.append(both > 0 and 100 * both >= percent * either)
                     similar.append(both / max(either, 1))
-                    if leads and similar[-1] >= FAR:
+                    if similar[-1] >= FAR:
                         values.append(differ.view(np.int64))
-                    ends.append(ends[-1] + (len(differ) if leads and similar[-1] >= FAR else 0))
+                    ends.append(ends[-1] + (len(differ) if similar[-1] >= FAR else 0))
                 columns = [batch.column("a").slice(first, after - first), batch.column("b").slice(first, after - first), pa.array(linked, pa.bool_()), pa.array(similar, pa.float64())]
                 columns += [pa.array(np.diff(fa), pa.int64()), pa.array(np.diff(fb), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))]
                 yield pa.record_batch(columns, names=["a", "b", "linked", "similarity", "size_a", "size_b", "differ"])
@@ -201,44 +204,117 @@ def led(bands: DataFrame) -> DataFrame:
     return keep(shared.select("band", "rep").join(best.select("band", (-F.col("best.back")).alias("leader")), "band"), "band-members")
 
 
-def unpaired(members: DataFrame, asked: DataFrame, star: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a band, neither its leader, that may be linked though not both are with the leader.
+#: Classes of distances from a leader that a distance of the threshold spans.
+STEPS = 8
+#: A key under which this many pairs for each of its rows would meet is told apart by a further shingle, so often.
+CROWDED, DEEPEST = 16, 4
 
-    star: compare() of leaders a with sets b. Differences from a leader are
-    ordered by how many of its sets have them. Role 0 marks those of linked
-    sets; 1 and 2 those of others by which they meet linked ones; 2 those by
-    which they meet each other.
-    """
+
+def from_leaders(star: DataFrame, percent: int) -> DataFrame:
+    """(leader, rep, linked, own, cls, differ) of sets b that star, compare() of leaders a with them, has near their leader."""
     t = (100 - percent) / (100 + percent)
-    near = star.where(F.col("similarity") >= FAR)
-    open_ = near.where("NOT linked").select("a").distinct()
-    rows = near.join(open_, "a", "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", F.size("differ").alias("n"), F.col("size_b").alias("own"), F.col("size_a").alias("led"), F.explode("differ").alias("shingle"))
-    counted = rows.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("times"))
-    ranked = rows.join(counted, ["leader", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("leader", "rep").orderBy("times", "shingle")))
-    upto = lambda overlap: F.col("n") - F.greatest(F.lit(1), F.ceil(overlap - 1e-9)) + 1
-    mutual = upto((F.col("n") + F.lit(t) * (F.col("led") - F.col("own"))) / 2)
-    to_linked = F.greatest(mutual, upto((F.col("n") - F.lit(t) * (F.col("own") + F.col("led"))) / 2))
-    role = F.when(F.col("linked"), F.when(F.col("rank") <= mutual, 0)).when(F.col("rank") <= mutual, 2).when(F.col("rank") <= to_linked, 1)
-    held = lambda upto_: F.greatest(F.lit(0), F.least(upto_, F.col("n")))
-    marked = ranked.withColumn("role", role).withColumn("mutual", held(mutual)).withColumn("to_linked", held(to_linked)).where("role IS NOT NULL AND times > 1")
-    marked = marked.select("leader", "shingle", "rep", "role", "n", "own", "mutual", "to_linked")
-    side = lambda k: marked.select("leader", "shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "role", "n", "own", "mutual", "to_linked")])
-    met = side("x").where("role_x > 0").join(side("y").where("role_y <> 1"), ["leader", "shingle"]).where("role_y = 0 OR (role_x = 2 AND role_y = 2 AND rep_x < rep_y)")
-    met = met.withColumn("prefix", F.when(F.col("role_y") == 0, F.col("to_linked_x")).otherwise(F.col("mutual_x")))
-    met = met.groupBy("leader", "rep_x", "rep_y", "n_x", "own_x", "prefix", "n_y", "own_y", "mutual_y").agg(F.count(F.lit(1)).alias("met"))
-    # What is not met in the prefixes is after the shorter one's end, and so in the rest of one of the two.
-    rest = F.greatest(F.col("n_x") - F.col("prefix"), F.col("n_y") - F.col("mutual_y"))
-    met = met.where(F.col("met") + rest >= (F.col("n_x") + F.col("n_y") - F.lit(t) * (F.col("own_x") + F.col("own_y"))) / 2 - 1e-9)
-    met = met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
-
-    # Far from the leader, or not compared with it at all: paired with all that are nearly as far.
+    distance = F.floor(F.size("differ") / F.greatest(F.lit(1), F.ceil(F.col("size_a") * (2 * t / STEPS))))
+    cls = (distance * 2 + F.col("linked").cast("int")).cast("int").alias("cls")
+    return star.where(F.col("similarity") >= FAR).select(F.col("a").alias("leader"), F.col("b").alias("rep"), "linked", F.col("size_b").alias("own"), cls, "differ")
+
+
+def from_nothing(members: DataFrame, asked: DataFrame, star: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The same, with a band for a leader and the empty set for its shingles, of a band's sets that are far from its leader or nearly as far."""
     told = asked.join(star.select("a", "b", "similarity"), ["a", "b"], "left").select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
-    outer = members.join(told.where(F.col("similarity") < FAR + (100 - percent) / 100 + 1e-9), ["leader", "rep"]).join(sizes, "rep").withColumn("far", F.col("similarity") < FAR)
-    far = outer.where("far").select("band", F.col("rep").alias("x"), F.col("n_shingles").alias("nx"))
-    others = outer.select("band", F.col("rep").alias("y"), F.col("n_shingles").alias("ny"), "far")
-    sized = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    paired = far.join(others, "band").where(sized & F.expr("x < y OR (x > y AND NOT far)")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return met.union(paired).distinct()
+    outer = keep(members.join(told.where(F.col("similarity") < FAR + (100 - percent) / 100 + 1e-9), ["leader", "rep"]).select("band", "rep", (F.col("similarity") < FAR).alias("far")), "outer-sets")
+    open_ = outer.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where("n > 1 AND far").select("band")
+    outer = keep(outer.join(open_, "band", "left_semi").select(F.col("band").alias("leader"), "rep"), "outer-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, one in split_batches(batches, "text"):
+            values, first = shingle_sets(one, shingle)
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))], names=["rep", "differ"])
+
+    wanted = texts.join(outer.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = wanted.mapInArrow(run, "rep long, differ array<long>")
+    cls = (F.floor(F.log(F.size("differ").cast("double")) * 16) * 2).cast("int").alias("cls")
+    return outer.join(sets, "rep").select("leader", "rep", F.lit(False).alias("linked"), F.size("differ").cast("long").alias("own"), cls, "differ")
+
+
+def differences(near: DataFrame, of: DataFrame) -> DataFrame:
+    """(leader, rep, component, n, common, own, cls) of sets near a leader, itself aside.
+
+    near: (leader, rep, linked, own, cls, differ); of: (node, component) of the
+    links so far. n: shingles that one of set and leader lacks; common: those of
+    them that others of the leader's sets have too, the rarest first; own: the
+    set's size; cls: its distance class, twice, plus 1 if it is linked.
+    """
+    rows = near.select("leader", "rep", F.explode("differ").alias("shingle"))
+    counted = keep(rows.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "difference-counts")
+    common = rows.join(counted, ["leader", "shingle"]).groupBy("leader", "rep").agg(F.sort_array(F.collect_list(F.struct("times", "shingle")))["shingle"].alias("common"))
+    out = near.withColumn("n", F.size("differ")).drop("differ").join(common, ["leader", "rep"]).join(of, F.col("rep") == F.col("node"), "left")
+    return out.select("leader", "rep", F.coalesce("component", "rep").alias("component"), "n", "common", "own", "cls")
+
+
+def reachable(held: DataFrame, t: float) -> DataFrame:
+    """(leader, cls, partners): for each distance class of a leader's sets those that it may have links with, not both linked with the leader.
+
+    Two sets x and y are linked only if |Dx & Dy| >= (|Dx| + |Dy| - t (|x| + |y|)) / 2, and never have more in common than either has
+    with anyone. A leader has few classes, however many sets.
+    """
+    bounds = held.groupBy("leader", "cls").agg(F.min("n").alias("least"), F.max(F.size("common")).alias("most"), F.max("own").alias("longest"), F.count(F.lit(1)).alias("sets"), F.min("component").alias("one"), F.max("component").alias("two"))
+    bounds = keep(bounds, "difference-classes")
+    side = lambda k: bounds.select("leader", *[F.col(c).alias(f"{c}_{k}") for c in bounds.columns if c != "leader"])
+    needed = F.greatest(F.lit(1.0), F.ceil((F.col("least_x") + F.col("least_y") - F.lit(t) * (F.col("longest_x") + F.col("longest_y"))) / 2 - 1e-9))
+    open_ = (F.col("cls_x") % 2 == 0) | (F.col("cls_y") % 2 == 0)
+    apart = (F.col("one_x") != F.col("two_x")) | (F.col("one_y") != F.col("two_y")) | (F.col("one_x") != F.col("one_y"))
+    met = side("x").join(side("y"), "leader").where(open_ & apart & (needed <= F.least("most_x", "most_y")) & ((F.col("cls_x") != F.col("cls_y")) | (F.col("sets_x") > 1)))
+    return met.groupBy("leader", F.col("cls_x").alias("cls")).agg(F.collect_list(F.struct(F.col("cls_y").alias("cls"), F.col("least_y").alias("least"), F.col("longest_y").alias("longest"), needed.cast("int").alias("needed"))).alias("partners"))
+
+
+def meeting(held: DataFrame, partners: DataFrame, t: float) -> DataFrame:
+    """(leader, x, y): sets of different components that have a shingle in common within the prefixes of their differences.
+
+    A set has a prefix for each class of partners: the nearer they must be, the
+    shorter. Pairs that have ``k`` shingles in common have ``l`` of them in the
+    first len - k + l, so a key of one shingle that crowds is told apart by the
+    next one that both may have, as long as fewer than k are in the key.
+    """
+    rows = held.join(partners, ["leader", "cls"]).select("leader", "rep", "component", "n", "own", "cls", "common", F.explode("partners").alias("p"))
+    needed = F.greatest(F.col("p.needed"), F.ceil((F.col("n") + F.col("p.least") - F.lit(t) * (F.col("own") + F.col("p.longest"))) / 2 - 1e-9)).cast("int")
+    rows = rows.withColumn("needed", needed).withColumn("size", F.size("common")).where("needed <= size")
+    rows = rows.withColumn("low", F.least("cls", "p.cls")).withColumn("high", F.greatest("cls", "p.cls")).withColumn("both", F.col("p.needed"))
+    fixed = ["leader", "rep", "component", "n", "own", "cls", "low", "high", "both", "needed", "size"]
+    at = rows.select(*fixed, F.posexplode(F.slice("common", 1, F.col("size") - F.col("needed") + 1)).alias("at", "shingle"))
+    at = at.select(*fixed, "at", F.xxhash64("low", "high", "shingle").alias("key"))
+    first, second = F.col("cls") == F.col("low"), F.col("cls") == F.col("high")
+    found = None
+    for depth in range(1, DEEPEST + 1):
+        at = keep(at, "difference-keys")
+        sides = at.groupBy("leader", "key").agg(F.count(F.when(first, 1)).alias("ones"), F.count(F.when(second, 1)).alias("others"), F.max(F.col("low") == F.col("high")).alias("same"), F.max("both").alias("both"))
+        crowded = (F.col("ones") * F.col("others") > CROWDED * (F.col("ones") + F.col("others"))) & (F.col("both") > depth) & F.lit(depth < DEEPEST)
+        sides = keep(sides.where("ones > 0 AND others > 0 AND (ones > 1 OR NOT same)").select("leader", "key", crowded.alias("crowded")), "difference-sides")
+        told = at.join(sides, ["leader", "key"])
+        plain = told.where("NOT crowded")
+        side = lambda k, rows_: rows_.select("leader", "key", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "component", "n", "own", "cls", "size", "at")])
+        overlap = F.least("at_x", "at_y") + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+        enough = overlap >= (F.col("n_x") + F.col("n_y") - F.lit(t) * (F.col("own_x") + F.col("own_y"))) / 2 - 1e-9
+        pair = ((F.col("cls_x") != F.col("cls_y")) | (F.col("rep_x") < F.col("rep_y"))) & (F.col("component_x") != F.col("component_y"))
+        met = side("x", plain.where(first)).join(side("y", plain.where(second)), ["leader", "key"]).where(pair & enough).select("leader", F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
+        found = met if found is None else found.union(met)
+        if sides.where("crowded").isEmpty():
+            break
+        onward = F.slice("common", F.col("at") + 2, F.greatest(F.lit(0), F.col("size") - F.col("needed") + F.lit(depth) - F.col("at")))
+        more = told.where("crowded").join(held.select("leader", "rep", "common"), ["leader", "rep"]).select(*fixed, "key", "at", F.posexplode(onward).alias("after", "shingle"))
+        at = more.select(*fixed, (F.col("at") + 1 + F.col("after")).alias("at"), F.xxhash64("key", "shingle").alias("key"))
+    return found.distinct()
+
+
+def between(near: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between sets near one leader that are not both linked with it nor of one component, decided by their differences from it."""
+    t = (100 - percent) / (100 + percent)
+    held = keep(differences(near, of), "differences")
+    met = meeting(held, reachable(held, t), t)
+    side = lambda k: held.select("leader", F.col("rep").alias(k), F.col("common").alias(f"common_{k}"), F.col("n").alias(f"n_{k}"), F.col("own").alias(f"own_{k}"))
+    both = met.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
+    apart = F.col("n_x") + F.col("n_y") - 2 * F.size(F.array_intersect("common_x", "common_y"))
+    total = F.col("own_x") + F.col("own_y")
+    return both.where((total > apart) & (100 * (total - apart) >= percent * (total + apart))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -249,39 +325,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and more; component_id is the smallest id that can be reached. percent is
     80 or more. Null and empty texts, and white space alone, have no set and
     link with nothing; fewer words than a shingle are one shingle. Rows with a
-    null id are linked with nothing and kept. Ids are taken as unique; a row
-    repeated with id and text gives the same row again. Other columns play no
-    part; an empty table gives no rows.
+    null id are linked with nothing and kept. Ids are of any type that has an
+    order; rows that repeat an id are documents of their own, by their texts.
+    Other columns play no part; an empty table gives no rows.
     """
     if percent < 80:
         raise ValueError("bands are laid out for a similarity of 0.8 and more")
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    base = base.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketches = keep(sketch(base, shingle), "sketches")
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "set_1", "set_2"]
-    reps = keep(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
-    long = sketches.where(F.col("n_shingles") >= LEAST_SHINGLES).select("doc_id", "registers")
-    classes = keep(reps.where(F.col("n_shingles") >= LEAST_SHINGLES).select("rep").distinct().join(long.dropDuplicates(["doc_id"]), F.col("rep") == F.col("doc_id")).select("rep", "registers"), "classes")
+    reps = usable.groupBy(*key).agg(F.min(F.struct("doc_id", "text_key", "registers")).alias("first"))
+    reps = keep(reps.select(*key, "first.*", F.monotonically_increasing_id().alias("rep")), "set-classes")
+    classes = reps.where(F.col("n_shingles") >= LEAST_SHINGLES).select("rep", "registers")
 
     bands = classes.select("rep", F.explode(band_keys(F.col("registers"))).alias("band"))
     members = led(bands)
     asked = keep(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "asked")
-    texts = keep(base.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"), "candidate-texts")
-    star = keep(compare(likely(asked, classes, LEAST_LIKELY), texts, shingle, percent, leads=True), "star")
+    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), "rep")
+    texts = base.join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key"))).dropDuplicates(["doc_id", "text_key", "rep"])
+    texts = keep(texts.select(F.col("rep").alias("doc_id"), "text"), "candidate-texts")
+    star = keep(compare(likely(asked, classes, LEAST_LIKELY), texts, shingle, percent), "star")
     links = star.where("linked").select("a", "b")
     found = components(links)
 
-    sizes = reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
-    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    later = unpaired(members, asked, star, sizes, percent).join(side("a"), "a", "left").join(side("b"), "b", "left")
-    later = later.where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
-    later = keep(likely(later, classes, percent / 100 - MARGIN), "later-pairs")
-    if not later.isEmpty():
-        more = keep(compare(later, texts, shingle, percent).where("linked").select("a", "b"), "later-links")
-        if not more.isEmpty():
-            found = components(links.union(more))
-
-    of_class = reps.join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("of"))
-    out = sketches.join(of_class, key, "left")
+    more = keep(between(from_leaders(star, percent), found, percent), "difference-links")
+    far = keep(from_nothing(members, asked, star, texts, shingle, percent), "far-sets")
+    if not far.isEmpty():
+        more = more.union(keep(between(far, found, percent), "far-links"))
+    if not more.isEmpty():
+        found = components(links.union(more))
+
+    of_class = reps.select(*key, "doc_id", "rep").join(found, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
+    of_class = keep(of_class.select(*key, "doc_id", "group"), "class-groups")
+    least = of_class.groupBy("group").agg(F.min("doc_id").alias("of"))
+    of_class = of_class.drop("doc_id").join(least, "group").select(*key, "of")
+    out = sketches.select("doc_id", *key).join(of_class, key, "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("of"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
