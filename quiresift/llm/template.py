@@ -11,8 +11,8 @@ between its tags are slots. Pages with an article give the slots inside it.
 For others, the walk goes down the template's containers while one of them has
 most of the prose (text that varies, without links) of the one around it; the
 slots in the last give the main text. Furniture (menus, headers, adverts,
-forms and the like) is left out; names that speak of it count below the
-article or the chosen container only.
+forms and the like) is left out by its elements; names that speak of it count
+below the article or the chosen container only.
 
 Hosts with few pages take the classes of all hosts together.
 """
@@ -51,21 +51,36 @@ CONTAINERS = {"html", "body", "div", "section", "center", "table", "tbody", "tr"
 BOXES = CONTAINERS | {"h1"}
 #: How much more prose counts outside elements that are named like furniture.
 UNNAMED = 10
-#: Words of class, id or role that speak of furniture.
+#: Words of class, id or role that speak of furniture wherever they stand in a name. Fixed values.
 FURNITURE_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "widget", "footer", "header", "masthead", "topbar", "toolbar",
-    "comment", "comments", "reply", "replies", "respond", "disqus", "cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
-    "share", "sharing", "social", "related", "recommended", "pagination", "pager", "tags", "legal", "copyright", "search", "skip", "complementary", "contentinfo", "alert",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "topbar", "toolbar",
+    "comments", "disqus", "cookie", "cookies", "gdpr", "popup", "modal", "newsletter", "pagination", "pager", "contentinfo", "copyright",
 }
+#: Words that do only in names of such words and PLAIN_WORDS: "comment-list", but not "side-by-side". Fixed values.
+FURNITURE_NAMES = {
+    "sponsor", "promo", "promotion", "banner", "menu", "side", "aside", "widget", "header", "comment", "reply", "replies", "respond", "consent", "notice", "overlay",
+    "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "tags", "legal", "search", "skip", "complementary", "alert",
+}
+PLAIN_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "content", "form", "frame", "group", "info", "inner", "item", "items", "left", "link", "links", "list",
+    "main", "message", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "text", "thread", "title", "top", "unit", "wrap", "wrapper",
+}
+#: Names with one of these tell what something has or lacks: "has-sidebar", "ad-free". Fixed values.
+STATE_WORDS = {"has", "with", "no", "non", "without", "free", "less", "is", "hide", "hidden", "show"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: Classes that tell what a page has or lacks ("has-sidebar") are not names of parts.
-STATE = re.compile(r"(?:^|[\s_-])(?:has|with|no|without)[-_]\S+")
+
+
+def speaks_of_furniture(name: str) -> bool:
+    """Whether a class, id or role names a menu, an advert, comments or the like."""
+    words = {w for w in WORD.findall(CAMEL.sub("-", name).lower()) if len(w) > 1}
+    if words & STATE_WORDS:
+        return False
+    return bool(words & FURNITURE_WORDS or words & FURNITURE_NAMES and words <= FURNITURE_WORDS | FURNITURE_NAMES | PLAIN_WORDS)
 
 
 class Element:
@@ -85,9 +100,8 @@ class Element:
 
 def element(name: str, attributes: str, above: Element | None) -> Element:
     found = [(k.lower(), v.strip("\"'")) for k, v in NAMED.findall(attributes)] if attributes else []
-    marks = " ".join(CAMEL.sub(" ", STATE.sub("", v)) for _, v in found)
     furniture = name in FURNITURE
-    named = bool(found and name not in MAIN and FURNITURE_WORDS.intersection(WORD.findall(marks.lower())))
+    named = name not in MAIN and any(speaks_of_furniture(part) for _, v in found for part in v.split())
     if name == "header" and not (above and above.main):
         furniture = True
     if name in ("html", "body"):
@@ -280,26 +294,31 @@ def walk(prose: dict[str, int]) -> str:
         at = best
 
 
-def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT, least_members: int = LEAST_MEMBERS) -> DataFrame:
-    """(host, block, main) of each host, and of ALL_HOSTS for hosts with few pages: a row for each text block in valid classes, as a hash, and one row without block that has the path of the container with the main text.
+def vectors_of(seen: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, one, two, on_pages, times, path, holder, prose): a sketch of each token's occurrence vector, of rows as from occurrences() or of such sketches.
 
-    Occurrence vectors are compared by a sketch: the sum over pages of the
-    page's random number times the token's count, modulo 2**61 or so.
+    one and two are sums over pages of 31 random bits that the page and the
+    token's count on it give: they add up in any order and hold 2**32 pages.
     """
-    seen = occurrences(pages)
-    weight = F.col("n") * F.pmod(F.col("page"), F.lit(1 << 40))
-    sums = [F.sum("vector").alias("vector"), F.sum("on_pages").alias("on_pages"), F.sum("times").alias("times"), F.min("path").alias("path"), F.min("holder").alias("holder"), F.sum("prose").alias("prose")]
-    per_host = seen.select("host", "token", "kind", weight.alias("vector"), F.lit(1).alias("on_pages"), F.col("n").alias("times"), "path", "holder", "prose").groupBy("host", "token", "kind").agg(*sums)
+    if "one" not in seen.columns:
+        draw = lambda salt: F.pmod(F.xxhash64("page", "n", F.lit(salt)), F.lit(1 << 31))
+        seen = seen.select(*keys, "kind", draw(1).alias("one"), draw(2).alias("two"), F.lit(1).cast("long").alias("on_pages"), F.col("n").alias("times"), "path", "holder", "prose")
+    return seen.groupBy(*keys, "kind").agg(*[F.sum(c).alias(c) for c in ("one", "two", "on_pages", "times", "prose")], *[F.min(c).alias(c) for c in ("path", "holder")])
+
+
+def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT, least_members: int = LEAST_MEMBERS) -> DataFrame:
+    """(host, block, main) of each host, and of ALL_HOSTS for hosts with few pages: a row for each text block in valid classes, as a hash, and one row without block that has the path of the container with the main text."""
+    per_host = vectors_of(occurrences(pages), "host", "token")
     per_host = keep(per_host, "page-tokens")
     sizes = pages.groupBy(host_column().alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    everywhere = per_host.groupBy("token", "kind").agg(*sums)
+    everywhere = vectors_of(per_host, "token")
     total = pages.count()
     vectors = per_host.join(sizes, "host").where(F.col("pages") >= least_pages)
     overall = everywhere.select(F.lit(ALL_HOSTS).alias("host"), *[c for c in vectors.columns if c not in ("host", "pages")], F.lit(total).alias("pages")).where(F.col("pages") >= least_pages)
     # Tokens of one page are no template's, of a host or of all.
     frequent = vectors.select(overall.columns).union(overall).where((F.col("on_pages") >= 2) & (F.col("on_pages") >= F.col("pages") * support))
     # No more than an average page has, divided by the support.
-    classes = frequent.groupBy("host", "on_pages", "times", "vector").agg(F.count(F.lit(1)).alias("members"), F.collect_list(F.struct("kind", "token", "path", "holder", "prose")).alias("tokens"))
+    classes = frequent.groupBy("host", "on_pages", "times", "one", "two").agg(F.count(F.lit(1)).alias("members"), F.collect_list(F.struct("kind", "token", "path", "holder", "prose")).alias("tokens"))
     valid = keep(classes.where(F.col("members") >= least_members).select("host", F.explode("tokens").alias("t")).select("host", "t.*"), "page-classes")
 
     @F.udf("string")
