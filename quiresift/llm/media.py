@@ -2,10 +2,11 @@
 
 ``store`` puts a payload into a transport stream: program tables, packetised
 elementary packets with timestamps and random-access points, in packets of 188
-bytes with continuity counters. ``read_back`` parses such bytes: it follows the
-tables from PID 0, checks counters, reassembles the elementary packets and
-gives the payload, timestamps and random-access points. A stream has one
-program with one private-data component, so bytes are kept as they are.
+bytes with continuity counters. ``read_back`` parses transport streams, these
+and others: it finds the packets, follows the tables from PID 0 to all programs
+and their components, checks counters, reassembles the elementary packets and
+gives the payload, timestamps and random-access points. What ``store`` writes
+has one program with one private-data component, so bytes are kept as they are.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ UNIT_BYTES = 16 * 1024
 SYNC, PAT_PID, PMT_PID, DATA_PID = 0x47, 0x0000, 0x1000, 0x0100
 PAT_TABLE, PMT_TABLE, PRIVATE_STREAM, PRIVATE_TYPE = 0x00, 0x02, 0xBD, 0x06
 CLOCK = 90_000
+#: Sync bytes in a row, a packet apart, that tell where packets begin.
+LOCK = 2
 #: Ticks between elementary packets: 25 a second.
 TICKS = CLOCK // 25
 #: Every so many elementary packets one is marked as a random-access point.
@@ -138,26 +141,70 @@ def stuffing(room: int, field_: bytes) -> bytes:
     return bytes([room - 1]) + flags + b"\xff" * (room - 1 - len(flags))
 
 
+@dataclass
+class Component:
+    """An elementary stream of a program."""
+
+    program: int
+    pid: int
+    stream_type: int
+    payload: bytes = b""
+    cut: int = 0  # elementary packets that do not begin as such or are shorter than they say
+    stamps: list[int] = field(default_factory=list)  # of each elementary packet; -1: none
+    access: list[int] = field(default_factory=list)  # timestamps of random-access points
+    clocks: int = 0
+
+
 @dataclass
 class Stream:
     """What a parse of a transport stream finds."""
 
-    payload: bytes = b""
-    pmt_pid: int = -1
-    data_pid: int = -1
-    stream_type: int = -1
+    programs: dict[int, int] = field(default_factory=dict)  # number -> PID of its table
+    components: dict[int, Component] = field(default_factory=dict)  # by PID, in the order of programs and tables
     packets: int = 0
+    skipped: int = 0  # bytes outside packets
     lost: int = 0  # continuity counters that do not follow
+    repeated: int = 0  # packets sent twice
     bad_tables: int = 0
-    cut: int = 0  # elementary packets shorter than they say
-    stamps: list[int] = field(default_factory=list)
-    access: list[int] = field(default_factory=list)  # timestamps of random-access points
-    clocks: int = 0
+
+    @property
+    def first(self) -> Component:
+        """The first component of the first program."""
+        return next(iter(self.components.values()), Component(-1, -1, -1))
+
+    @property
+    def payload(self) -> bytes:
+        return self.first.payload
+
+    @property
+    def stamps(self) -> list[int]:
+        return self.first.stamps
+
+    @property
+    def access(self) -> list[int]:
+        return self.first.access
+
+    @property
+    def clocks(self) -> int:
+        return self.first.clocks
+
+    @property
+    def data_pid(self) -> int:
+        return self.first.pid
+
+    @property
+    def pmt_pid(self) -> int:
+        return self.programs.get(self.first.program, -1)
+
+    @property
+    def cut(self) -> int:
+        return sum(c.cut for c in self.components.values())
 
     def feature(self) -> str:
-        last = self.stamps[-1] if self.stamps else -1
-        first = self.stamps[0] if self.stamps else -1
-        return f"pmt={self.pmt_pid:#x};pid={self.data_pid:#x};type={self.stream_type:#x};packets={self.packets};lost={self.lost};bad_tables={self.bad_tables};cut={self.cut};pes={len(self.stamps)};pts={first}..{last};access={','.join(map(str, self.access))};pcr={self.clocks}"
+        c = self.first
+        ends = (c.stamps[0], c.stamps[-1]) if c.stamps else (-1, -1)
+        others = "".join(f";also={o.pid:#x}:{o.stream_type:#x}" for o in self.components.values() if o is not c)
+        return f"pmt={self.pmt_pid:#x};pid={c.pid:#x};type={c.stream_type:#x};packets={self.packets};lost={self.lost};repeated={self.repeated};skipped={self.skipped};bad_tables={self.bad_tables};cut={self.cut};pes={len(c.stamps)};pts={ends[0]}..{ends[1]};access={','.join(map(str, c.access))};pcr={c.clocks}{others}"
 
 
 def _body(packet: bytes) -> tuple[bytes, bytes]:
@@ -171,48 +218,65 @@ def _body(packet: bytes) -> tuple[bytes, bytes]:
     return (packet[5 : 5 + packet[4]], b"") if kind == 2 else (b"", b"")
 
 
-def _section(body: bytes, table_id: int) -> bytes | None:
-    """A section's bytes between its header and its checksum; null if it is not sound."""
-    held = body[1 + body[0] :] if body else b""
-    if len(held) < 12 or held[0] != table_id:
+def packets_of(data: bytes) -> np.ndarray:
+    """A row of PACKET bytes for each packet. Where a sync byte is missing, packets go on at the next one that LOCK - 1 others follow, or as many as the data has room for."""
+    held = np.frombuffer(data, np.uint8)
+    n = len(held) // PACKET
+    whole = held[: n * PACKET].reshape(n, PACKET)
+    if (whole[:, 0] == SYNC).all():
+        return whole
+    begins = (held == SYNC)[: max(len(held) - PACKET + 1, 0)]  # a packet has room there
+    sure = begins.copy()
+    for k in range(1, LOCK):
+        sure[: -k * PACKET] &= begins[k * PACKET :]
+    starts = np.flatnonzero(sure)
+    runs, at = [], 0
+    while at + PACKET <= len(held):
+        if not sure[at]:
+            k = int(np.searchsorted(starts, at))
+            if k == len(starts):
+                break
+            at = int(starts[k])
+        missing = np.flatnonzero(~begins[at::PACKET])
+        count = int(missing[0]) if len(missing) else len(begins[at::PACKET])
+        runs.append(held[at : at + count * PACKET].reshape(count, PACKET))
+        at += count * PACKET
+    return np.concatenate(runs) if runs else whole[:0]
+
+
+def sections_of(own: np.ndarray, table_id: int) -> tuple[list[bytes], int]:
+    """(what sound sections of ``table_id`` hold between header and checksum, how many others are not sound); ``own``: packets of one PID. A section may run over packets."""
+    found, bad = [], 0
+    held: bytes | None = None  # of a section that has begun
+
+    def take(rest: bytes) -> bytes | None:
+        nonlocal bad
+        while rest and rest[0] != 0xFF:
+            size = 3 + ((rest[1] & 15) << 8 | rest[2]) if len(rest) >= 3 else 1 << 12
+            if size > len(rest):
+                return rest
+            if rest[0] == table_id and size >= 12 and not section_crc(rest[:size]):
+                found.append(rest[8 : size - 4])
+            else:
+                bad += rest[0] == table_id
+            rest = rest[size:]
         return None
-    size = 3 + ((held[1] & 15) << 8 | held[2])
-    if size > len(held) or size < 12 or section_crc(held[:size]):
-        return None
-    return held[8 : size - 4]
-
 
-def demux(data: bytes) -> Stream:
-    """Parse ``data``; bytes before a sync byte or of a packet cut short are passed over."""
-    out = Stream()
-    n = len(data) // PACKET
-    grid = np.frombuffer(data, np.uint8, n * PACKET).reshape(n, PACKET)
-    grid = grid[grid[:, 0] == SYNC]
-    out.packets = len(grid)
-    if not len(grid):
-        return out
-    pids = (grid[:, 1].astype(np.int32) & 31) << 8 | grid[:, 2]
-    for pid in np.unique(pids):
-        own = grid[pids == pid, 3]
-        own = own[own & 0x10 > 0] & 15
-        out.lost += int(np.count_nonzero(np.diff(own.astype(np.int16)) % 16 != 1)) if len(own) > 1 else 0
-    for i in np.flatnonzero(pids == PAT_PID):
-        programs = _section(_body(grid[i].tobytes())[1], PAT_TABLE)
-        if programs is None:
-            out.bad_tables += 1
+    for packet in own:
+        body = _body(packet.tobytes())[1]
+        if not body:
             continue
-        for j in range(0, len(programs) - 3, 4):
-            if programs[j] << 8 | programs[j + 1]:  # not the network's own
-                out.pmt_pid = (programs[j + 2] & 31) << 8 | programs[j + 3]
-    for i in np.flatnonzero(pids == out.pmt_pid):
-        program = _section(_body(grid[i].tobytes())[1], PMT_TABLE)
-        if program is None or len(program) < 4:
-            out.bad_tables += 1
-            continue
-        j = 4 + ((program[2] & 15) << 8 | program[3])
-        if j + 5 <= len(program):
-            out.stream_type, out.data_pid = program[j], (program[j + 1] & 31) << 8 | program[j + 2]
-    own = grid[pids == out.data_pid] if out.data_pid >= 0 else grid[:0]
+        if packet[1] & 0x40:
+            if held is not None:
+                bad += take(held + body[1 : 1 + body[0]]) is not None
+            held = take(body[1 + body[0] :])
+        elif held is not None:
+            held = take(held + body)
+    return found, bad + (held is not None)
+
+
+def reassemble(own: np.ndarray, out: Component) -> None:
+    """Elementary packets of one PID's packets; what stands before the first that begins is passed over."""
     begins = np.flatnonzero(own[:, 1] & 0x40)
     parts = []
     for k, i in enumerate(begins):
@@ -242,6 +306,50 @@ def demux(data: bytes) -> Stream:
             out.access.append(ticks)
         parts.append(pes[9 + pes[8] : 6 + size if size else None])
     out.payload = b"".join(parts)
+
+
+def demux(data: bytes) -> Stream:
+    """Parse ``data``: all programs and components.
+
+    Bytes outside packets, packets marked as faulty and packets sent twice are
+    passed over; a counter that does not follow is a loss, unless the packet
+    says that its counter begins anew.
+    """
+    out = Stream()
+    grid = packets_of(data)
+    out.packets, out.skipped = len(grid), len(data) - PACKET * len(grid)
+    if (faulty := grid[:, 1] & 0x80).any():
+        grid = grid[faulty == 0]
+    pids = (grid[:, 1].astype(np.int32) & 31) << 8 | grid[:, 2]
+    by_pid: dict[int, np.ndarray] = {}
+    for pid in np.unique(pids).tolist():
+        own = grid[pids == pid]
+        loaded = np.flatnonzero(own[:, 3] & 0x10)
+        step = np.diff((own[loaded, 3] & 15).astype(np.int16)) % 16
+        odd = np.flatnonzero(step != 1) + 1
+        twice = [int(k) for k in odd if step[k - 1] == 0 and _body(own[loaded[k]].tobytes())[1] == _body(own[loaded[k - 1]].tobytes())[1]]
+        anew = [int(k) for k in odd if own[loaded[k], 3] & 0x20 and own[loaded[k], 4] and own[loaded[k], 5] & 0x80]
+        out.lost += len(odd) - len(twice) - len(set(anew) - set(twice))
+        out.repeated += len(twice)
+        by_pid[pid] = np.delete(own, loaded[twice], 0) if twice else own
+
+    nothing = grid[:0]
+    tables, out.bad_tables = sections_of(by_pid.get(PAT_PID, nothing), PAT_TABLE)
+    for programs in tables:
+        for j in range(0, len(programs) - 3, 4):
+            if number := programs[j] << 8 | programs[j + 1]:  # 0 is the network's own
+                out.programs[number] = (programs[j + 2] & 31) << 8 | programs[j + 3]
+    for number in sorted(out.programs):
+        tables, bad = sections_of(by_pid.get(out.programs[number], nothing), PMT_TABLE)
+        out.bad_tables += bad
+        for program in tables:
+            j = 4 + ((program[2] & 15) << 8 | program[3]) if len(program) >= 4 else len(program)
+            while j + 5 <= len(program):
+                pid = (program[j + 1] & 31) << 8 | program[j + 2]
+                out.components.setdefault(pid, Component(number, pid, program[j]))
+                j += 5 + ((program[j + 3] & 15) << 8 | program[j + 4])
+    for pid, component in out.components.items():
+        reassemble(by_pid.get(pid, nothing), component)
     return out
 
 
