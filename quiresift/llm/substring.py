@@ -2,14 +2,16 @@
 
 Seeds are winnowed: of each ``window`` consecutive words the run of ``gram``
 words with the smallest hash is an anchor, so equal windows have equal anchors.
-Anchors are joined over all documents. A match is extended from its anchors
-both ways, a window at a time, as long as the windows' anchors are shared; each
-window of what results is compared as a whole, and those that start earlier
-elsewhere go. Neighbours
-that go are one maximal repeat.
-
-Documents are dealt into buckets by id. Copies within a bucket meet there, so a
-passage sends one row a bucket, however often it occurs.
+Anchors are joined over all documents. Around a shared anchor a match is
+extended both ways as long as whole windows agree: a window goes if its words
+also start earlier somewhere, and neighbours that go are one maximal repeat,
+``window`` words long at least. Along a repeat the earlier place may change
+from one document to another, so each window seeks its own first place; no two
+documents are paired. Windows are told apart by 96 bits of two hashes: among
+10^13 windows two different ones are taken for equal with probability 6e-4.
+
+Documents are dealt into buckets by id and text. Copies within a bucket meet
+there, so a passage sends one row a bucket, however often it occurs.
 """
 
 from __future__ import annotations
@@ -18,19 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from quiresift.llm.textbytes import Words, pieces, run_hashes, split_batches
+from quiresift.llm.textbytes import Words, pieces, run_hashes, scramble, split_batches
 
 #: Words of an anchor.
 GRAM = 8
-#: Documents of a bucket, on average.
-BUCKET_DOCS = 256
+#: Documents of a bucket, on average; a hot passage has as many rows in one task as there are buckets.
+BUCKET_DOCS = 1024
 #: Pairs of anchor and bucket that a task gathers before it sends them.
 MOST_PAIRS = 4_000_000
-#: Stands for a null id; before all others.
-NO_ID = np.iinfo(np.int64).min
+#: Sets the second hash of a word apart from the first.
+SECOND = np.uint64(0x6A09E667F3BCC909)
 
 
 def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -60,7 +64,7 @@ class Anchored:
         #: The hash at every place at which some window has its anchor, and that place's text.
         self.anchors, self.anchor_rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(self.least):
-            own = np.where(self.valid, self.least, 0)
+            own = np.where(self.valid, self.least, np.uint64(0))
             around = np.concatenate([np.zeros(self.span - 1, np.uint64), own, np.zeros(self.span - 1, np.uint64)])
             at = np.flatnonzero(slide(around, self.span, np.maximum) == self.grams)
             self.anchors, self.anchor_rows = self.grams[at], self.rows()[at]
@@ -78,13 +82,12 @@ class Anchored:
         return np.flatnonzero(np.repeat(met, np.diff(np.append(turns, len(self.least)))) & self.valid)
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """(bucket, doc_id, text), each bucket in one partition; and the expression of a bucket by doc_id."""
+def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(bucket, doc_id, text), each bucket in one partition."""
     buckets = max(1, -(-docs.count() // BUCKET_DOCS))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return base.select(bucket.alias("bucket"), "doc_id", "text").repartition(parts, "bucket"), bucket
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return base.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text").repartition(parts, "bucket")
 
 
 def anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -114,31 +117,38 @@ def anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class Bucket:
-    """A bucket's documents: their windows' hashes, ids and starts, in order of the rows, and the pieces they come from."""
+    """A bucket's documents: their windows' hashes, ids' ranks and starts, in order of the rows, and the pieces they come from."""
 
     def __init__(self, docs: pa.Table, window: int, gram: int, shared: np.ndarray | None = None):
-        docs = docs.combine_chunks()
+        ids = docs.column("doc_id").combine_chunks()
+        order = pc.sort_indices(ids, null_placement="at_start")
+        docs = docs.take(order).combine_chunks()
+        self.ids_of_rows = ids = docs.column("doc_id").chunk(0) if docs.num_rows else ids
         text = docs.column("text").chunk(0) if docs.num_rows else pa.array([], pa.string())
-        own_ids = docs.column("doc_id").to_numpy()
-        self.pieces = []  # (ids, first word of each text, texts)
-        hashes, ids, starts, places, base = [], [], [], [], 0
-        for first, after, texts in pieces(text):
+        codes = np.asarray(ids.dictionary_encode(null_encoding="encode").indices)
+        own = np.cumsum(np.concatenate([np.zeros(min(len(ids), 1), np.int64), codes[1:] != codes[:-1]])) if len(ids) else np.zeros(0, np.int64)
+        self.pieces = []  # (first row, first word of each text, texts)
+        hashes, checks, rows_, starts, places, base = [], [], [], [], [], 0
+        for first, _, texts in pieces(text):
             a = Anchored(Words(texts), window, gram)
             at = np.flatnonzero(a.valid) if shared is None else a.shared_windows(shared)
             rows = a.rows()[at]
             hashes.append(run_hashes(a.hashes, window)[at])
-            ids.append(own_ids[first:after][rows])
+            checks.append((run_hashes(scramble(a.hashes ^ SECOND), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            rows_.append(rows + first)
             starts.append(at - a.first[rows])
             places.append(at + base)
-            self.pieces.append((own_ids[first:after], a.first + base, texts))
+            self.pieces.append((first, a.first + base, texts))
             base += len(a.hashes)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hashes, self.ids, self.starts, self.places = join(hashes, np.uint64), join(ids, np.int64), join(starts, np.int64), join(places, np.int64)
+        self.hashes, self.checks, self.rows, self.starts, self.places = join(hashes, np.uint64), join(checks, np.int32), join(rows_, np.int64), join(starts, np.int64), join(places, np.int64)
+        self.ids = own[self.rows]
         self.n_words = base
-        #: Windows by hash, id and start; and where in that order each one's hash begins.
-        self.order = np.lexsort((self.starts, self.ids, self.hashes))
+        #: Windows by hashes, id and start; and where in that order each one's hashes begin.
+        self.order = np.lexsort((self.starts, self.ids, self.checks, self.hashes))
         fresh = np.ones(len(self.order), bool)
-        fresh[1:] = self.hashes[self.order][1:] != self.hashes[self.order][:-1]
+        hashes_, checks_ = self.hashes[self.order], self.checks[self.order]
+        fresh[1:] = (hashes_[1:] != hashes_[:-1]) | (checks_[1:] != checks_[:-1])
         self.leader = np.maximum.accumulate(np.where(fresh, np.arange(len(self.order)), 0))
 
 
@@ -146,41 +156,53 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row a row of ``docs``: doc_id, n_words, spans (start, stop of words that go, maximal), kept (the other words, joined by spaces).
 
     A word goes if it is in a run of ``window`` words that also starts earlier:
-    in a smaller id, or in the same document. Null texts have no words. Rows
-    that repeat an id and text are one document: neither is earlier. Null ids
-    stand before all others and count as one. Other columns play no part; an
-    empty table gives no rows. Runs are compared by 64-bit hashes.
+    in a smaller id, or in the same document. Ids are of any type that has an
+    order; null ids stand before all others and count as one. Null texts have
+    no words. Rows that repeat an id are one document: of two such places the
+    one of the earlier word stays, and both if they start at the same word.
+    Other columns play no part; an empty table gives no rows.
     """
-    rows, bucket_of = bucketed(docs, id_col, text_col)
+    rows = bucketed(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType
     found = anchors(rows, window, gram).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
     shared = found.where("n > 1").select("bucket", "anchor")
 
     def candidates(docs_: pa.Table, shared_: pa.Table) -> pa.Table:
-        """The first occurrence in the bucket of each window that may stand in others."""
+        """The first occurrence in the bucket of each window that may stand in others; place: the bucket and the start."""
         b = Bucket(docs_, window, gram, np.sort(shared_.column("anchor").to_numpy().view(np.uint64)))
         lead = b.order[np.unique(b.leader)]
-        return pa.table({"hash": b.hashes[lead].view(np.int64), "doc_id": b.ids[lead], "start": b.starts[lead].astype(np.int32)})
+        bucket = docs_.column("bucket")[0].as_py() if docs_.num_rows else 0
+        return pa.table({"hash": b.hashes[lead].view(np.int64), "check": b.checks[lead], "doc_id": b.ids_of_rows.take(pa.array(b.rows[lead])), "place": b.starts[lead].astype(np.int64) | bucket << 32})
 
     by_bucket = rows.groupBy("bucket")
-    windows = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(candidates, "hash long, doc_id long, start int")
-    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("hash"))
-    late = windows.withColumn("first", first).where("doc_id <> first.doc_id OR start <> first.start").select(bucket_of.alias("bucket"), "hash")
+    windows = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(candidates, StructType([StructField("hash", LongType()), StructField("check", IntegerType()), StructField("doc_id", kind), StructField("place", LongType())]))
+    start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    windows = windows.select("hash", "check", "doc_id", start.alias("start"), F.shiftright("place", 32).cast("int").alias("bucket"))
+    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("hash", "check"))
+    late = windows.withColumn("first", first).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).select("bucket", "hash", "check")
 
     def cut(docs_: pa.Table, late_: pa.Table) -> pa.Table:
         b = Bucket(docs_, window, gram)
-        gone = np.sort(late_.column("hash").to_numpy())
         ids, starts = b.ids[b.order], b.starts[b.order]
         later = (ids != ids[b.leader]) | (starts != starts[b.leader])
-        if len(gone):
-            signed = b.hashes[b.order].view(np.int64)
-            later |= gone[np.minimum(np.searchsorted(gone, signed), len(gone) - 1)] == signed
+        if late_.num_rows:
+            both = np.dtype([("hash", np.uint64), ("check", np.int32)])
+            gone, own = np.empty(late_.num_rows, both), np.empty(len(b.order), both)
+            gone["hash"], gone["check"] = late_.column("hash").to_numpy().view(np.uint64), late_.column("check").to_numpy()
+            own["hash"], own["check"] = b.hashes[b.order], b.checks[b.order]
+            gone = gone[np.lexsort((gone["check"], gone["hash"]))]
+            at = np.minimum(np.searchsorted(gone["hash"], own["hash"]), len(gone) - 1)
+            later |= (gone["hash"][at] == own["hash"]) & (gone["check"][at] == own["check"])
+            # Two windows of one hash and different checks are next to each other.
+            for i in np.flatnonzero(gone["hash"][1:] == gone["hash"][:-1]) + 1:
+                later |= (own["hash"] == gone["hash"][i]) & (own["check"] == gone["check"][i])
         edge = np.zeros(b.n_words + 1, np.int64)
         at = b.places[b.order[later]]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
         goes = np.cumsum(edge)[: b.n_words] > 0
-        out_ids, counts, spans, kept = [], [], [], []
-        for own, first_, texts in b.pieces:
+        out_rows, counts, spans, kept = [], [], [], []
+        for row, first_, texts in b.pieces:
             for i in range(texts.n):
                 mask = goes[first_[i] : first_[i + 1]]
                 words = texts.row(i).split()
@@ -190,8 +212,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     words = [words[j] for j in np.flatnonzero(~mask)]
                 counts.append(len(mask))
                 kept.append(b" ".join(words))
-                out_ids.append(None if own[i] == NO_ID else int(own[i]))
+                out_rows.append(row + i)
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": b.ids_of_rows.take(pa.array(out_rows, pa.int64())), "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return by_bucket.cogroup(late.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, spans array<struct<start: int, stop: int>>, kept string")
+    return by_bucket.cogroup(late.groupBy("bucket")).applyInArrow(cut, f"doc_id {kind.simpleString()}, n_words long, spans array<struct<start: int, stop: int>>, kept string")
