@@ -5,6 +5,9 @@ either level by linear support vector machines, one for each pair of classes,
 whose votes count before the sum of their margins. Inputs are hashed runs of
 three bytes of the lowered text, by the square root of their counts, scaled to
 length 1.
+
+The machines are fitted on the executors, for blocks of classes against blocks
+of classes; the driver holds the languages and the fitted machines, no texts.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiresift.llm.sampling import sample_ids
+from quiresift.llm.sampling import sample_rows
 from quiresift.llm.textbytes import Texts, pieces, split_batches
+from quiresift.scratch import keep
 
 #: Hashed runs of three bytes.
 BINS = 2048
-#: Rows of each language that the model is fitted on, at most about so many; and how many languages, the most frequent ones.
-PER_LANGUAGE, MOST_LANGUAGES = 1500, 256
+#: Rows of each language that the model is fitted on, at most about so many; and of each family, shared by its languages.
+PER_LANGUAGE, PER_FAMILY = 1500, 6000
+#: Classes of a block: a task fits the machines between two blocks.
+BLOCK = 8
 UNKNOWN = "und"
 
 #: Families of languages by code. Fixed values. A code that is not here is a family of its own.
@@ -62,7 +68,8 @@ def inputs(texts: Texts) -> np.ndarray:
 def has_letter(texts: Texts) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(ASCII_LETTERS[texts.data], dtype=np.int64)])
     found = np.diff(total[texts.starts]) > 0
-    for i in np.flatnonzero(~found & (np.diff(texts.starts) > 0)):
+    high = np.concatenate([[0], np.cumsum(texts.data >= 128, dtype=np.int64)])
+    for i in np.flatnonzero(~found & (np.diff(high[texts.starts]) > 0)):
         found[i] = LETTER.search(texts.row(i).decode("utf-8", "replace")) is not None
     return found
 
@@ -159,13 +166,75 @@ def fit(texts: Sequence[str | None], langs: Sequence[str]) -> Model:
     return Model(top, within)
 
 
-def fit_on(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
-    """Fit on about ``per_language`` rows of each of the ``most_languages`` most frequent languages; null languages teach nothing."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("label"), F.col(f"`{text_col}`").alias("text")).where("label IS NOT NULL AND id IS NOT NULL")
-    drawn = F.broadcast(sample_ids(rows.select("id", "label"), per_language, most_languages).distinct())
-    found = rows.join(drawn, ["id", "label"]).toArrow()
-    held = sorted(zip(found["id"].to_pylist(), found["label"].to_pylist(), found["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
-    return fit([r[2] for r in held], [r[1] for r in held])
+def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) to (label, bins, amounts): the inputs above 0, as bytes of uint16 and float32; at most 6 * BINS bytes a row."""
+    for batch, texts in split_batches(batches, "text"):
+        x = inputs(texts)
+        held = [(np.flatnonzero(row), row) for row in x]
+        columns = [batch.column("label"), pa.array([at.astype(np.uint16).tobytes() for at, _ in held], pa.binary()), pa.array([row[at].tobytes() for at, row in held], pa.binary())]
+        yield pa.record_batch(columns, names=["label", "bins", "amounts"])
+
+
+def dense(bins: list[bytes], amounts: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(bins), BINS), np.float32)
+    for row, (at, values) in enumerate(zip(bins, amounts, strict=True)):
+        out[row, np.frombuffer(at, np.uint16)] = np.frombuffer(values, np.float32)
+    return out
+
+
+def fit_block(rows: pa.Table) -> pa.Table:
+    """(level, a, b, weights, bias) of all pairs of classes a of the first block and b > a of the second; rows: (level, one, two, cls, bins, amounts)."""
+    level, one, two = (rows.column(c)[0].as_py() for c in ("level", "one", "two"))
+    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    for cls, at, values in zip(*(rows.column(c).to_pylist() for c in ("cls", "bins", "amounts")), strict=True):
+        held.setdefault(cls, []).append((at, values))
+    made = []
+    for a in sorted(c for c in held if c // BLOCK == one):
+        for b in sorted(c for c in held if c // BLOCK == two and c > a):
+            ordered = [sorted(held[c]) for c in (a, b)]  # the sums do not hang on the order in which rows come
+            x = dense([r[0] for c in ordered for r in c], [r[1] for c in ordered for r in c])
+            w, bias = fit_svm(x, np.repeat(np.array([1.0, -1.0], np.float32), [len(c) for c in ordered]))
+            made.append((level, a, b, w.astype(np.float32).tobytes(), float(bias)))
+    kinds = [("level", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("weights", pa.binary()), ("bias", pa.float64())]
+    return pa.table({name: pa.array([m[j] for m in made], kind) for j, (name, kind) in enumerate(kinds)})
+
+
+def fit_on(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, per_family: int = PER_FAMILY) -> Model:
+    """Fit on about ``per_language`` rows of each language, and ``per_family`` of each family; null languages teach nothing.
+
+    All languages are learned, however many. One-versus-one machines grow with
+    the square of a family's languages; a language of no known family is one.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("label"), F.col(f"`{text_col}`").alias("text")).where("label IS NOT NULL")
+    sample = keep(sample_rows(rows, per_language).mapInArrow(sparse, "label string, bins binary, amounts binary"), "language-sample")
+    langs = sorted(r.label for r in sample.select("label").distinct().collect())
+    if not langs:
+        return Model(None, [])
+    family_of = {lang: FAMILY_OF.get(lang, f"only {lang}") for lang in langs}
+    families = sorted(set(family_of.values()))
+    members = {f: [lang for lang in langs if family_of[lang] == f] for f in families}
+    # Families first, under the name ""; then the languages of each.
+    places = [("", families.index(family_of[lang]), lang, len(families), min(1.0, per_family / (per_language * len(members[family_of[lang]])))) for lang in langs]
+    places += [(f, k, lang, len(own), 1.0) for f, own in members.items() for k, lang in enumerate(own)]
+    dealt = []
+    for level, cls, lang, n, share in places:
+        for other in range(-(-n // BLOCK) if n > 1 else 0):
+            dealt.append((lang, level, cls, min(cls // BLOCK, other), max(cls // BLOCK, other), share))
+    fitted: dict[str, dict[tuple[int, int], tuple[np.ndarray, float]]] = {}
+    if dealt:
+        where = spark.createDataFrame(dealt, "of string, level string, cls int, one int, two int, share double")
+        drawn = F.pmod(F.xxhash64("bins", "amounts"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        spread = sample.withColumn("drawn", drawn).join(where, F.col("label") == F.col("of")).where("drawn < share").select("level", "one", "two", "cls", "bins", "amounts")
+        for r in spread.groupBy("level", "one", "two").applyInArrow(fit_block, "level string, a int, b int, weights binary, bias double").toLocalIterator():
+            fitted.setdefault(r.level, {})[r.a, r.b] = (np.frombuffer(r.weights, np.float32), r.bias)
+
+    def level_of(name: str, classes: list[str]) -> Level:
+        pairs = sorted(fitted.get(name, {}))
+        held = [fitted[name][p] for p in pairs]
+        return Level(classes, pairs, np.stack([w for w, _ in held], 1) if held else np.zeros((BINS, 0), np.float32), np.array([b for _, b in held]))
+
+    return Model(level_of("", families), [level_of(f, members[f]) for f in families])
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ inputs, by the sum-of-squares identity.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiresift.llm.sampling import sample_ids
-from quiresift.llm.textbytes import NOT_SPACE, Texts, Words, pieces
+from quiresift.llm.sampling import sample_ids, sample_rows
+from quiresift.llm.textbytes import Texts, Words, pieces, split_batches
 
 #: Hashed words.
 BINS = 2048
@@ -126,27 +126,47 @@ class Machine:
         return np.round(1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30))), 9)
 
 
+@dataclass
+class Sample:
+    """Inputs of some texts; hashed words sparse: where each text's begin, their bins and amounts."""
+
+    first: np.ndarray
+    bins: np.ndarray
+    amounts: np.ndarray
+    structure: np.ndarray
+
+
+def sparse(texts: Texts) -> Sample:
+    hashed, structure = inputs(texts)
+    row, column = np.nonzero(hashed)
+    return Sample(np.searchsorted(row, np.arange(texts.n + 1)), column.astype(np.uint16), hashed[row, column], structure)
+
+
+def joined(parts: Sequence[Sample]) -> Sample:
+    counts = np.concatenate([[0], *[np.diff(p.first) for p in parts]])
+    return Sample(np.cumsum(counts), np.concatenate([p.bins for p in parts]), np.concatenate([p.amounts for p in parts]), np.vstack([p.structure for p in parts]))
+
+
 def fit(texts: Sequence[str | None] | pa.Array, labels: Sequence[int], rounds: int = 250, batch: int = 512, seed: int = 11) -> Machine:
+    """fit_sample() of some texts."""
+    parts = [sparse(t) for _, _, t in pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), most_rows=256)]
+    return fit_sample(joined(parts) if parts else None, labels, rounds, batch, seed)
+
+
+def fit_sample(sample: Sample | None, labels: Sequence[int], rounds: int = 250, batch: int = 512, seed: int = 11) -> Machine:
     """Logistic loss, Adam steps over mini-batches, weight decay; without labels of both kinds a constant."""
     y = np.asarray(labels, np.float32)
-    if not len(y):
+    if sample is None or not len(y):
         return Machine(0.0, np.zeros(BINS + len(NAMES), np.float32), np.zeros((BINS + len(NAMES), RANK), np.float32), np.zeros(len(NAMES), np.float32), np.ones(len(NAMES), np.float32))
-    # Hashed words are held sparse; a mini-batch is made dense when it is used.
-    parts, structures = [], []
-    for _, _, t in pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), most_rows=256):
-        hashed, structure = inputs(t)
-        row, column = np.nonzero(hashed)
-        parts.append((np.searchsorted(row, np.arange(t.n + 1)), column.astype(np.int16), hashed[row, column]))
-        structures.append(structure)
-    structure = np.vstack(structures)
-    counts = np.concatenate([np.diff(p[0]) for p in parts])
-    first, columns, values = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    structure = sample.structure
     machine = Machine(0.0, np.zeros(BINS + len(NAMES), np.float32), np.zeros((BINS + len(NAMES), RANK), np.float32), structure.mean(0), np.maximum(structure.std(0), 1e-3))
 
     def dense(take: np.ndarray) -> np.ndarray:
+        """A mini-batch; hashed words are dense in it alone."""
         hashed = np.zeros((len(take), BINS), np.float32)
         for k, i in enumerate(take):
-            hashed[k, columns[first[i] : first[i + 1]]] = values[first[i] : first[i + 1]]
+            own = slice(sample.first[i], sample.first[i + 1])
+            hashed[k, sample.bins[own]] = sample.amounts[own]
         return machine.design(hashed, structure[take])
 
     if y.min() == y.max():
@@ -179,13 +199,29 @@ def fit(texts: Sequence[str | None] | pa.Array, labels: Sequence[int], rounds: i
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Machine:
-    """Fit on about ``per_class`` rows a label of ``labels`` joined with ``docs``; null labels and ids are passed over."""
-    rows = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["id"])
-    drawn = F.broadcast(sample_ids(rows, per_class, 2))
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(drawn, "id").select("id", "text", "label").toArrow()
-    found = found.sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
-    texts = found["text"].chunk(0) if found.num_rows else pa.array([], pa.string())
-    return fit(texts, found["label"].to_pylist())
+    """Fit on about ``per_class`` rows a label of ``docs`` joined with ``labels``; null labels and ids are passed over.
+
+    Inputs are made on the executors; the driver gets those of the sample, at
+    most 6 * BINS bytes and the structure of each row, no texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in split_batches(batches, "text"):
+            s = sparse(texts)
+            cut = lambda values: [values[a:b].tobytes() for a, b in zip(s.first, s.first[1:], strict=False)]
+            yield pa.record_batch([batch.column("label"), pa.array(cut(s.bins), pa.binary()), pa.array(cut(s.amounts), pa.binary()), pa.array([r.tobytes() for r in s.structure], pa.binary())], names=["label", "bins", "amounts", "structure"])
+
+    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").dropDuplicates(["id"])
+    # Some thousands of ids, however many labels there are; an id on many rows is held to the bound by the second draw.
+    drawn = F.broadcast(sample_ids(marked, per_class))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(drawn, "id").select("id", "label", "text")
+    found = sample_rows(rows, per_class).mapInArrow(run, "label int, bins binary, amounts binary, structure binary").toArrow()
+    held = sorted(zip(*(found[c].to_pylist() for c in ("label", "bins", "amounts", "structure")), strict=True))
+    if not held:
+        return fit_sample(None, [])
+    counts = np.concatenate([[0], [len(r[1]) // 2 for r in held]])
+    sample = Sample(np.cumsum(counts), np.frombuffer(b"".join(r[1] for r in held), np.uint16), np.frombuffer(b"".join(r[2] for r in held), np.float32), np.frombuffer(b"".join(r[3] for r in held), np.float32).reshape(len(held), -1))
+    return fit_sample(sample, [r[0] for r in held])
 
 
 def score_column(machine: Machine, text: Column, spark) -> Column:
