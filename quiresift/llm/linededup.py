@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiresift.llm.columns import let, same_row
+from quiresift.llm.columns import let
 from quiresift.scratch import keep
 
 #: Factor of the rolling hash.
@@ -54,26 +54,33 @@ def repeated_spans(docs: DataFrame, divisor: int = 3, window: int = 2, min_lines
     """(doc_id, text_hash, spans): line spans to remove, of ``docs`` (doc_id, text, text_hash)."""
     found = docs.select("doc_id", "text_hash", F.explode(chunks(F.col("text"), divisor, window, min_lines)).alias("c"))
     found = keep(found.select("doc_id", "text_hash", "c.*"), "line-chunks")
-    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    suspects = found.join(again.select("hash"), "hash", "left_semi")
+    # Tables of keys: a join of rows with them can be split where one key has many.
+    again = keep(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated-hashes")
+    suspects = found.join(again, "hash", "left_semi")
 
     # The bytes of suspects only; equal bytes of one map task meet before the shuffle.
     places = suspects.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop", "hash", "digest")).alias("places"))
     with_text = docs.join(places.withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"}), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
-    body = let(F.split("text", "\n"), lambda lines: F.transform("places", lambda c: F.struct(c["start"].alias("start"), c["hash"].alias("hash"), c["digest"].alias("digest"), F.array_join(F.slice(lines, c["start"] + 1, c["stop"] - c["start"]), "\n").alias("body"))))
-    bodies = with_text.select("doc_id", F.explode(body).alias("c")).select("doc_id", "c.*")
+    body = let(F.split("text", "\n"), lambda lines: F.transform("places", lambda c: F.struct(*[c[n].alias(n) for n in ("start", "stop", "hash", "digest")], F.array_join(F.slice(lines, c["start"] + 1, c["stop"] - c["start"]), "\n").alias("body"))))
+    bodies = with_text.select("doc_id", "text_hash", F.explode(body).alias("c")).select("doc_id", "text_hash", "c.*")
     compared = bodies.groupBy("hash", "digest", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    # Chunks of different bytes under one hash and digest would stay, all of them.
-    first = compared.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("bodies"), F.min("first").alias("first")).where("bodies = 1")
-
-    later = suspects.join(first, ["hash", "digest"]).where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.start") == F.col("start"))))
+    first = keep(compared.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("bodies"), F.min("first").alias("first")), "first-places")
+
+    elsewhere = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.start") == F.col("start")))
+    later = suspects.join(first.where("bodies = 1").select("hash", "digest", "first"), ["hash", "digest"]).where(elsewhere).select("doc_id", "text_hash", "start", "stop")
+    mixed = first.where("bodies > 1").select("hash", "digest")
+    if not mixed.isEmpty():  # different bytes under one hash and digest are told apart by the bytes
+        odd = bodies.join(mixed, ["hash", "digest"])
+        firsts = odd.groupBy("hash", "digest", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+        later = later.union(odd.join(firsts, ["hash", "digest", "body"]).where(elsewhere).select("doc_id", "text_hash", "start", "stop"))
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3, window: int = 2, min_lines: int = 2) -> DataFrame:
     """``docs`` with the columns ``lines`` (array, all lines) and ``kept`` (array, lines that stay) added.
 
-    Null texts have one empty line; nothing is removed from them. Rows of equal
+    Where ``docs`` has a column of such a name, that column stays and the added
+    one has as many underscores after its name as it takes. Null texts have one empty line; nothing is removed from them. Rows of equal
     id and text count as one place. Null ids stand before all others. Lines
     alone, and chunks that never begin alike, stay. Empty tables give no rows.
     """
@@ -89,4 +96,10 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     out = out.withColumn("lines", F.split("text", "\n"))
     out = out.withColumn("kept", F.when(F.col("spans").isNull(), F.col("lines")).otherwise(stay))
     columns = [F.col("__row")[c].alias(c) for c in docs.columns] if rest else [F.col("doc_id").alias(id_col), F.col("text").alias(text_col)]
-    return out.select(*columns, "lines", "kept")
+    return out.select(*columns, *[F.col(c).alias(free_name(c, docs.columns)) for c in ("lines", "kept")])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
