@@ -9,7 +9,9 @@ document's first word: the inverse of that integral. The result is sorted by
 position over range partitions.
 
 Prefix sums are taken in buckets of about ``bucket_rows`` documents of one
-source, so that no task holds a whole source, however large.
+source, and these on shelves, so that no task holds a whole source, however
+large. Rows alike in source, id and size are one until their positions are
+given out, so that an id on many rows does not fill a bucket.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiresift.llm.columns import same_row, word_count
+from quiresift.llm.columns import word_count
+from quiresift.llm.sizes import small
 from quiresift.scratch import keep
 
 #: 15 hexadecimal digits of a digest: the order of a source's documents.
 ORDER_SPAN = float(16**15)
-#: Rows of the table of sources up to which it is broadcast; beyond, it is joined by a shuffle.
+#: Rows of the table of sources up to which it is broadcast, if its bytes are few; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Buckets of a source whose sums one task orders.
+SHELF = 1024
 
 
 def draw(doc_id: Column) -> Column:
@@ -94,23 +99,28 @@ def mix(
     """
     if not (len(slopes) and all(-1 <= a <= 1 for a in slopes) and all(w > 0 for w in weights)):
         raise ValueError("weights are positive, slopes from -1 to 1")
-    sized = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    column = lambda c: F.col(f"`{c}`")
+    sized = keep(docs.select(column(id_col).alias("doc_id"), column(source_col).alias("source"), word_count(column(text_col)).alias("size")), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     per_source = per_source.withColumn("turn_no", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
-    sources = keep(targets(per_source, weights, share, max_repeats), "mix-sources")
     slope = F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.col("turn_no") % len(slopes) + 1).cast("int"))
-    sources = sources.withColumn("slope", slope).withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(float(bucket_rows))))
-    if sources.count() <= BROADCAST_SOURCES:
-        sources = F.broadcast(sources)
+    sources = targets(per_source, weights, share, max_repeats).withColumn("slope", slope).withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(float(bucket_rows))))
+    sources = small(keep(sources, "mix-sources"), BROADCAST_SOURCES)
 
-    rows = sized.join(sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    rows = sized.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("alike"))
+    rows = rows.join(sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     rows = rows.withColumn("drawn", draw(F.col("doc_id"))).withColumn("bucket", F.floor(F.col("drawn") / F.lit(ORDER_SPAN) * F.col("buckets")))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("named"), F.col("bucket").alias("of"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))
+    words = F.col("size") * F.col("alike")
+    sums = keep(rows.groupBy("source", "bucket").agg(F.sum(words).alias("words")).withColumn("shelf", F.floor(F.col("bucket") / F.lit(SHELF))), "mix-buckets")
+    until = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    shelves = sums.groupBy("source", "shelf").agg(F.sum("words").alias("words"))
+    shelves = shelves.select(F.col("source").alias("on_source"), F.col("shelf").alias("on"), F.coalesce(F.sum("words").over(until("source", "shelf")), F.lit(0)).alias("shelf_start"))
+    starts = sums.withColumn("shelf_sum", F.coalesce(F.sum("words").over(until("source", "shelf", "bucket")), F.lit(0))).join(shelves, F.col("source").eqNullSafe(F.col("on_source")) & (F.col("shelf") == F.col("on")))
+    starts = starts.select(F.col("source").alias("named"), F.col("bucket").alias("of"), (F.col("shelf_start") + F.col("shelf_sum")).alias("bucket_start"))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("named")) & (F.col("bucket") == F.col("of")))
     inside = Window.partitionBy("source", "bucket").orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum(words).over(inside), F.lit(0)))
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1))).withColumn("start", F.col("start") + F.col("size") * F.col("turn"))
 
     wanted = F.floor("target")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), wanted - (F.col("start") + F.col("source_size") * e))) for e in range(max_repeats)]

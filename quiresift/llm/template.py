@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiresift.llm.sizes import fits
 from quiresift.scratch import keep
 
 #: Pages from which a host has a template of its own.
@@ -35,7 +36,7 @@ LEAST_PAGES = 8
 SUPPORT, LEAST_MEMBERS = 0.8, 2
 #: A container is gone into if it has this share of the prose of the one around it.
 MAIN_SHARE = 0.6
-#: Rows of deduced templates up to which they are broadcast; beyond, pages are joined with them by a shuffle.
+#: Rows of deduced templates up to which they are broadcast, if their bytes are few; beyond, pages are joined with them by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Stands for all hosts together.
 ALL_HOSTS = ""
@@ -364,8 +365,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     template = keep(deduce(base, least_pages, support), "templates")
-    rows = template.count()
-    small = rows <= BROADCAST_ROWS
+    small = fits(template, BROADCAST_ROWS)
     # Blocks on most of all pages are no more than an average page has, divided by the support: those always go along.
     held_here = template if small else template.where(F.col("host") == ALL_HOSTS)
     sent = base.sparkSession.sparkContext.broadcast([(r["host"], r["block"], r["main"]) for r in held_here.collect()])
