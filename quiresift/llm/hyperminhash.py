@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     of_class = reps.select(*key, "doc_id", "rep").join(found, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
     of_class = keep(of_class.select(*key, "doc_id", "group"), "class-groups")
-    least = of_class.groupBy("group").agg(F.min("doc_id").alias("of"))
+    least = keep(of_class.groupBy("group").agg(F.min("doc_id").alias("of")), "group-ids")
     of_class = of_class.drop("doc_id").join(least, "group").select(*key, "of")
     out = sketches.select("doc_id", *key).join(of_class, key, "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("of"))

@@ -18,12 +18,12 @@ TOKENIZERS = "/opt/tokenizers"
 
 def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents"))
-    return media.read_back(stored).drop("timestamps", "access_points")
+    return media.read_back(stored)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    judged = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
 
 
 OP2_SQL = r"""
@@ -45,10 +45,29 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+), seen AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), told AS (
+  SELECT DISTINCT item_id, unnest(w) AS word FROM b
+), counts AS (
+  SELECT word, count(*) AS n FROM seen WHERE word IN (SELECT word FROM told) GROUP BY word
+), rare AS (
+  SELECT * FROM (
+    SELECT t.item_id, t.word, row_number() OVER (PARTITION BY t.item_id ORDER BY coalesce(c.n, 0), t.word) AS k FROM told t LEFT JOIN counts c ON t.word = c.word
+  ) WHERE k <= 5
+), needed AS (
+  SELECT item_id, count(*) AS n FROM rare GROUP BY item_id
+), places AS (
+  SELECT r.item_id, r.k, s.doc_id, s.pos FROM rare r JOIN seen s ON r.word = s.word
+), nears AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT p.doc_id, p.item_id, p.pos FROM places p JOIN places o ON p.doc_id = o.doc_id AND p.item_id = o.item_id AND abs(o.pos - p.pos) <= 20 JOIN needed n ON n.item_id = p.item_id
+    WHERE p.k = 1 GROUP BY p.doc_id, p.item_id, p.pos, n.n HAVING count(DISTINCT o.k) = n.n
+  ) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
-  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated, coalesce(e.n_near, 0) AS n_near
+FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id LEFT JOIN nears e ON d.doc_id = e.doc_id
 """
 
 
@@ -88,8 +107,9 @@ FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
-def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokencounts.pieces_of(f"{TOKENIZERS}/piece_bpe_32k.model"))
+def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    scores = tokencounts.pieces_of(f"{tokenizers}/piece_bpe_32k.model")
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), scores).withColumnRenamed("n_tokens", "n_tokens_by_rank")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

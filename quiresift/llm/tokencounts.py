@@ -5,10 +5,15 @@ distinct pre-tokens go into a trie, one for each task; the best score of every
 prefix (forward score) and its number of tokens are computed when the prefix's
 node is made, from the nodes above it, and so once for all pre-tokens that
 share it. The node that ends a pre-token stores its count. A document's count
-is the sum over its pre-tokens.
-
-Pieces come from a public vocabulary; their score falls with their rank as
-Zipf's law has it: -ln(rank + 2). A byte outside all pieces is a token of its
+is the sum over its pre-tokens. Below a depth, prefixes are hardly ever shared;
+there the scores of the last few prefixes only are held, so that a pre-token
+of any length takes bounded memory.
+
+The tokenizer's model is a parameter: pieces with their scores. No unigram
+model is among the public files and tokenizers are not trained here, so
+``pieces_of`` gives the pieces of a public vocabulary scores by their rank as
+Zipf's law has it: -ln(rank + 2). Counts are those of that model, not of the
+vocabulary's own tokenizer. A byte outside all pieces is a token of its
 own with a score below every piece's. Of segmentations with equal scores the
 one with fewer tokens counts.
 """
@@ -30,9 +35,11 @@ MARK = "▁".encode()
 #: A byte that no piece covers scores so much below the rarest piece.
 BYTE_PENALTY = 10.0
 #: Nodes beyond which a task's trie is begun anew; results do not change.
-MOST_NODES = 2_000_000
-#: Distinct pre-tokens whose counts a task remembers before it begins anew.
-MOST_KEPT = 1_000_000
+MOST_NODES = 600_000
+#: Bytes of distinct pre-tokens whose counts a task remembers before it begins anew; longer ones than a share of it are not.
+MOST_BYTES = 16 << 20
+#: Bytes of a pre-token that go into the trie.
+DEEPEST = 48
 
 
 def pieces_of(model_file: str) -> dict[bytes, float]:
@@ -49,6 +56,7 @@ class Vocabulary:
 
     def __init__(self, scores: dict[bytes, float]):
         self.byte_score = min(scores.values(), default=0.0) - BYTE_PENALTY
+        self.longest = max(map(len, scores), default=1)
         self.root: dict = {}
         for piece, score in scores.items():
             node = self.root
@@ -56,6 +64,21 @@ class Vocabulary:
                 node = node.setdefault(byte, {})
             node[256] = score
 
+    def step(self, text: bytes, end: int, scores: list[float], tokens: list[int], first: int) -> tuple[float, int]:
+        """Best score and fewest tokens of ``text[:end]``, from those of its prefixes; the lists begin with that of length ``first``."""
+        best, fewest = scores[end - 1 - first] + self.byte_score, tokens[end - 1 - first] + 1
+        piece, j = self.root, end
+        while j > 0:
+            piece = piece.get(text[j - 1])
+            if piece is None:
+                break
+            j -= 1
+            if 256 in piece:
+                score, count = scores[j - first] + piece[256], tokens[j - first] + 1
+                if score > best or score == best and count < fewest:
+                    best, fewest = score, count
+        return best, fewest
+
 
 class Trie(dict):
     """Pre-token (without mark) -> tokens. Missing ones are inserted; nodes hold forward scores."""
@@ -67,45 +90,44 @@ class Trie(dict):
 
     def clear_nodes(self) -> None:
         self.clear()
-        self.children: list[dict[int, int]] = [{}]
+        self.held = 0
+        self.children: dict[int, int] = {}  # node * 256 + byte -> node
         self.score: list[float] = [0.0]
         self.tokens: list[int] = [0]
-        self.start = self.walk([0], MARK)  # nodes from the root to the mark's end
-
-    def walk(self, path: list[int], text: bytes) -> list[int]:
-        """``path`` (nodes of a prefix, root first) carried on by ``text``; new nodes get their scores."""
-        children, scores, tokens, root = self.children, self.score, self.tokens, self.vocabulary.root
-        path = list(path)
-        done = bytearray() if len(path) == 1 else bytearray(MARK)
-        for byte in text:
-            node = path[-1]
-            done.append(byte)
-            child = children[node].get(byte)
+
+    def walk(self, text: bytes) -> tuple[list[float], list[int]]:
+        """Scores and tokens of all prefixes of ``text``, the empty one first; new nodes get theirs."""
+        children, score, tokens = self.children, self.score, self.tokens
+        node, scores, counts = 0, [0.0], [0]
+        for end, byte in enumerate(text, 1):
+            child = children.get(node << 8 | byte)
             if child is None:
-                best, fewest = scores[node] + self.vocabulary.byte_score, tokens[node] + 1
-                piece, j = root, len(done)
-                while j > 0:
-                    piece = piece.get(done[j - 1])
-                    if piece is None:
-                        break
-                    j -= 1
-                    if 256 in piece:
-                        from_ = path[j]
-                        score, count = scores[from_] + piece[256], tokens[from_] + 1
-                        if score > best or score == best and count < fewest:
-                            best, fewest = score, count
-                child = children[node][byte] = len(children)
-                children.append({})
-                scores.append(best)
+                best, fewest = self.vocabulary.step(text, end, scores, counts, 0)
+                child = children[node << 8 | byte] = len(score)
+                score.append(best)
                 tokens.append(fewest)
-            path.append(child)
-        return path
+            node = child
+            scores.append(score[node])
+            counts.append(tokens[node])
+        return scores, counts
 
     def __missing__(self, word: bytes) -> int:
-        if len(self.children) > MOST_NODES or len(self) > MOST_KEPT:
+        if len(self.score) > MOST_NODES or self.held > MOST_BYTES:
             self.clear_nodes()
-        count = self[word] = self.tokens[self.walk(self.start, word)[-1]]
-        return count
+        text = MARK + word
+        scores, counts = self.walk(text[: len(MARK) + DEEPEST])
+        first, longest, step = 0, self.vocabulary.longest, self.vocabulary.step
+        for end in range(len(MARK) + DEEPEST + 1, len(text) + 1):
+            best, fewest = step(text, end, scores, counts, first)
+            scores.append(best)
+            counts.append(fewest)
+            if len(scores) > 8 * longest + 1024:
+                first += len(scores) - longest
+                del scores[:-longest], counts[:-longest]
+        if len(word) <= MOST_BYTES >> 10:
+            self[word] = counts[-1]
+            self.held += len(word) + 100
+        return counts[-1]
 
 
 def count_tokens(docs: DataFrame, scores: dict[bytes, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
