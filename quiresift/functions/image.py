@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
@@ -18,8 +17,13 @@ TILE, MAP, HASH_SIDE, HASH_LOW = 64, 16, 32, 8
 BLANK_STD, BLANK_INK = 12.0, 0.004
 DARK, TRIM_SHARE, KEEP_SHARE = 75.0, 0.15, 0.30
 MAX_SKEW, SKEW_GAIN, LEAST_SKEW, INK_LEVEL = 5.0, 1.12, 0.3, 160
+SKEW_STEPS = ((1.0, 5.0), (0.2, 1.0))
+STRETCH, LEAST_RANGE = (2.0, 98.0), 25.0
+#: Own choices: the least side and ink of a view that is straightened, the least side that is levelled, and the ground's boxes.
+LEAST_VIEW, LEAST_INK, LEAST_LEVELLED = 24, 50, 8
+GROUND_ROUNDS, GROUND_REACH = 3, 40
 #: Changes with anything that changes a feature's value.
-FEATURES = "q1"
+FEATURES = "q2"
 
 
 def _by_area(gray: np.ndarray, m: int) -> np.ndarray:
@@ -137,60 +141,68 @@ def turned(gray: np.ndarray, degrees: float, grow: bool) -> np.ndarray:
     return (g[y0, x0] * (1 - fx) + g[y0, x1] * fx) * (1 - fy) + (g[y1, x0] * (1 - fx) + g[y1, x1] * fx) * fy
 
 
-@lru_cache(maxsize=128)
-def _turn(h: int, w: int, degrees: float) -> tuple[np.ndarray, np.ndarray]:
-    """(where each cell of a page comes from when turned, as flat index; whether that is inside)."""
-    angle = np.deg2rad(degrees)
-    y, x = np.mgrid[0:h, 0:w]
-    dx, dy = x - w / 2, y - h / 2
-    ix = np.rint(np.cos(angle) * dx - np.sin(angle) * dy + w / 2).astype(np.int32)
-    iy = np.rint(np.sin(angle) * dx + np.cos(angle) * dy + h / 2).astype(np.int32)
-    inside = (ix >= 0) & (ix < w) & (iy >= 0) & (iy < h)
-    return np.clip(iy, 0, h - 1) * w + np.clip(ix, 0, w - 1), inside
+def _sharpness(y: np.ndarray, x: np.ndarray, shape: tuple[int, int], degrees: np.ndarray) -> np.ndarray:
+    """For each angle, how much the profiles of ink cells (y, x from the middle) change from line to line and from column to column.
+
+    The cells are turned, not the image: a profile is a count of their rounded
+    places along an axis, all angles in one count.
+    """
+    angles = np.deg2rad(degrees)[:, None]
+    cos, sin = np.cos(angles), np.sin(angles)
+    down, across = np.rint(cos * y - sin * x), np.rint(cos * x + sin * y)
+    out = np.zeros(len(degrees))
+    for place, n, other in ((down, shape[0], shape[1]), (across, shape[1], shape[0])):
+        at = (place + n // 2).astype(np.int64)
+        inside = (at >= 0) & (at < n)
+        row = np.broadcast_to(np.arange(len(degrees))[:, None], at.shape)
+        profile = np.bincount((row * n + at)[inside], minlength=len(degrees) * n).reshape(-1, n) / other
+        out += np.square(np.diff(profile, axis=1)).sum(1)
+    return out
 
 
 def skew(gray: np.ndarray) -> float:
     """Degrees by which to turn a page so that its lines lie straight; 0 if that gains little."""
     view = fitted(gray, SKEW_VIEW, grow=False)
-    if min(view.shape) < 24:
-        return 0.0
-    ink = (view < INK_LEVEL).astype(np.float64)
-    if ink.sum() < 50:
+    y, x = np.nonzero(view < INK_LEVEL)
+    if min(view.shape) < LEAST_VIEW or len(y) < LEAST_INK:
         return 0.0
-
-    def sharpness(degrees: float) -> float:
-        held = ink
-        if abs(degrees) >= 1e-6:
-            where, inside = _turn(*ink.shape, round(degrees, 3))
-            held = ink.ravel()[where] * inside
-        return float((np.diff(held.mean(1)) ** 2).sum() + (np.diff(held.mean(0)) ** 2).sum())
-
-    straight = sharpness(0.0)
-    if straight <= 1e-9:
-        return 0.0
-    best, top = 0.0, straight
-    for step, reach in ((1.0, MAX_SKEW), (0.2, 1.0)):
-        middle = best
-        for k in range(-round(reach / step), round(reach / step) + 1):
-            value = sharpness(middle + k * step)
-            if value > top:
-                best, top = middle + k * step, value
-    if top < straight * SKEW_GAIN or abs(best) < LEAST_SKEW:
-        return 0.0
-    return float(np.clip(best, -MAX_SKEW, MAX_SKEW))
+    y, x = y - view.shape[0] / 2, x - view.shape[1] / 2
+    found = 0.0
+    for step, reach in SKEW_STEPS:
+        tried = found + np.arange(-round(reach / step), round(reach / step) + 1) * step
+        tried = tried[np.lexsort((np.abs(tried), np.abs(tried - found)))]  # of equals the nearest
+        value = _sharpness(y, x, view.shape, tried)
+        found = float(tried[np.argmax(value)])
+    straight, best = _sharpness(y, x, view.shape, np.array([0.0, found]))
+    gains = straight > 0 and best >= straight * SKEW_GAIN and abs(found) >= LEAST_SKEW
+    return float(np.clip(found, -MAX_SKEW, MAX_SKEW)) if gains else 0.0
+
+
+def _box_means(a: np.ndarray, reach: int) -> np.ndarray:
+    """Along the first axis: the mean of the cells at most ``reach`` away that there are."""
+    n = len(a)
+    total = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])
+    low, high = np.maximum(np.arange(n) - reach, 0), np.minimum(np.arange(n) + reach + 1, n)
+    return (total[high] - total[low]) / (high - low)[:, None]
+
+
+def background(gray: np.ndarray) -> np.ndarray:
+    """The page's ground: means of means over wide boxes, which come near a wide bell."""
+    out = gray.astype(np.float64)
+    for _ in range(GROUND_ROUNDS):
+        out = _box_means(_box_means(out, GROUND_REACH).T, GROUND_REACH).T
+    return out
 
 
 def levelled(gray: np.ndarray) -> np.ndarray:
-    """Divided by its background, then stretched from the 2nd to the 98th percentile; a flat page is all white or black."""
-    h, w = gray.shape
-    if h < 8 or w < 8:
+    """The page on an even ground, its range stretched to 0 and 255; a page of hardly any range is all white or black."""
+    if min(gray.shape) < LEAST_LEVELLED:
         return gray.astype(np.float64)
-    ground = resize(blur(np.round(resize(gray, max(4, h // 8), max(4, w // 8))), 5.0), h, w)
-    flat = np.clip(gray * (255.0 / np.maximum(ground, 1.0)), 0, 255)
-    low, high = np.percentile(flat, (2.0, 98.0))
-    if high - low < 25.0:
-        return np.full(flat.shape, 255.0 if flat.mean() > 127 else 0.0)
-    return np.clip((flat - low) * (255.0 / (high - low)), 0, 255)
+    even = np.minimum(gray / np.maximum(background(gray), 1.0), 1.0) * 255
+    low, high = np.percentile(even, STRETCH)
+    if high - low < LEAST_RANGE:
+        return np.full(gray.shape, 255.0 * (even.mean() > 255 / 2))
+    return np.interp(even, (low, high), (0.0, 255.0))
 
 
 def cosine_transform(n: int) -> np.ndarray:

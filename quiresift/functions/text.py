@@ -53,22 +53,21 @@ def is_page_name(name: Column) -> Column:
     return extension(name).isin(IMAGE_TYPES) & ~slashed.startswith("__MACOSX/") & ~slashed.startswith(".DS_Store") & ~basename(name).startswith(".")
 
 
-def sniffed_format(head: Column) -> Column:
-    """zip, rar, 7z or null by the first eight bytes."""
-    h = F.hex(head)
-    begins = lambda *marks: sum([h.startswith(m) for m in marks[1:]], h.startswith(marks[0])) if len(marks) == 1 else _any([h.startswith(m) for m in marks])
-    return (
-        F.when(begins("504B0304", "504B0506", "504B0708"), "zip")
-        .when(begins("526172211A0700", "526172211A070100"), "rar")
-        .when(begins("377ABCAF271C"), "7z")
-    )
+#: First bytes of archive formats. Fixed values.
+FORMAT_MARKS = {
+    "zip": [b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"],
+    "rar": [b"Rar!\x1a\x07\x00", b"Rar!\x1a\x07\x01\x00"],
+    "7z": [b"7z\xbc\xaf\x27\x1c"],
+}
+#: Formats by extension. Fixed values.
+FORMAT_TYPES = {"zip": ["zip", "cbz"], "rar": ["rar", "cbr"], "7z": ["7z", "cb7"]}
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def sniffed_format(head: Column) -> Column:
+    """zip, rar, 7z or null by the first eight bytes."""
+    digits = F.hex(head)
+    tried = [F.when(digits.startswith(mark.hex().upper()), kind) for kind, marks in FORMAT_MARKS.items() for mark in marks]
+    return F.coalesce(*tried)
 
 
 def normal_path(path: Column, shares: Mapping[str, str] | None = None) -> Column:

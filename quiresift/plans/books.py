@@ -34,7 +34,8 @@ def scan(spark: SparkSession, root: str, before: Shelf | None = None, sampling:
     if most_books is not None:
         found = found.orderBy("path").limit(most_books)
     new = keep(store.delta(found, before.books) if before else found, "new-books")
-    read = library.folder_pages(spark, root, sampling).unionByName(library.archive_pages(spark, root, sampling)).join(new.select("path"), "path", "left_semi")
+    only = {kind: new.where(F.col("kind") == kind) for kind in ("folder", "archive")}
+    read = library.folder_pages(spark, root, sampling, only["folder"]).unionByName(library.archive_pages(spark, root, sampling, only["archive"]))
     read = keep(read, "new-pages")
     features = keep(library.page_features(read, crop, straighten), "new-features")
     told = read.groupBy("path").agg(F.max("page_count").alias("n"), F.max("error").alias("said"))
