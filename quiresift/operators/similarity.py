@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresift.functions.vectors import hamming
 
 #: Vectors of a block; a block pair is one matrix product.
 BLOCK = 2048
+#: Bits of a band of hashes from which bands tell hashes apart.
+LEAST_BITS = 10
+#: A tile that deviates less is flat. Fixed value.
+FLAT = 1e-3
 
 
 def _units(values: pd.Series) -> np.ndarray:
@@ -123,14 +127,16 @@ def score_percentiles(vectors: DataFrame, shares: dict[str, float], block: int =
     return vectors.sparkSession.createDataFrame(rows, "kind string, n long, " + ", ".join(f"{c} double" for c in names))
 
 
-def close_hashes(hashes: DataFrame, most: int, width: int = 63) -> DataFrame:
+def close_hashes(hashes: DataFrame, most: int, width: int = 63, block: int = BLOCK) -> DataFrame:
     """(a_book, a_idx, b_book, b_idx, distance) of pages of different books, a_book < b_book, at most ``most`` bits apart.
 
     hashes: (book, idx, hash). Exact: of most + 1 bands of bits one is equal in
-    any such pair. Bands with few bits find many candidates; the join is for
-    small distances.
+    any such pair. Where bands would have too few bits to tell hashes apart,
+    blocks of hashes are compared with blocks, as in similar_vectors().
     """
     bands = min(most + 1, width)
+    if width // bands < LEAST_BITS:
+        return _close_in_blocks(hashes, most, block)
     edges = [width * k // bands for k in range(bands + 1)]
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright("hash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).alias("key")) for k in range(bands)])
     banded = hashes.select("book", "idx", "hash", F.explode(keys).alias("k")).select("book", "idx", "hash", "k.band", "k.key")
@@ -139,18 +145,61 @@ def close_hashes(hashes: DataFrame, most: int, width: int = 63) -> DataFrame:
     return met.select("a_book", "a_idx", "b_book", "b_idx", "distance").distinct()
 
 
+def _close_in_blocks(hashes: DataFrame, most: int, block: int) -> DataFrame:
+    blocks = max(1, -(-hashes.count() // block))
+    dealt = hashes.select("book", "idx", "hash", F.pmod(F.xxhash64("book", "idx"), F.lit(blocks)).cast("int").alias("block"))
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("book", "idx", "hash", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["block"] == pdf["low"].iloc[0]], pdf[pdf["block"] == pdf["high"].iloc[0]]
+        one, two = (x["hash"].to_numpy(np.int64).view(np.uint64) for x in (left, right))
+        out = [pd.DataFrame({"a_book": [], "a_idx": [], "b_book": [], "b_idx": [], "distance": []})]
+        for at in range(0, len(one), 512):
+            apart = np.bitwise_count(one[at : at + 512, None] ^ two[None, :])
+            i, j = np.nonzero(apart <= most)
+            x, y = left.iloc[i + at], right.iloc[j]
+            for first, second, hit in ((x, y, x["book"].to_numpy() < y["book"].to_numpy()), (y, x, (x["book"].to_numpy() > y["book"].to_numpy()) & (pdf["low"].iloc[0] != pdf["high"].iloc[0]))):
+                out.append(pd.DataFrame({"a_book": first["book"].to_numpy()[hit], "a_idx": first["idx"].to_numpy()[hit], "b_book": second["book"].to_numpy()[hit], "b_idx": second["idx"].to_numpy()[hit], "distance": apart[i, j][hit].astype(np.int32)}))
+        return pd.concat(out[1:] or out)
+
+    book, idx = (hashes.schema[c].dataType.simpleString() for c in ("book", "idx"))
+    return rows.groupBy("low", "high").applyInPandas(compare, f"a_book {book}, a_idx {idx}, b_book {book}, b_idx {idx}, distance int")
+
+
+def aligned_all(a: np.ndarray, b: np.ndarray, template: int) -> np.ndarray:
+    """For each pair of square pages (n x side x side): the greatest normalised correlation of the middle of b (template x template) with a, over all places in a; 0 if either is flat."""
+    side = a.shape[1]
+    template = min(template, side)
+    off, area = (side - template) // 2, template * template
+    a = a.astype(np.float64)
+    t = b[:, off : off + template, off : off + template].astype(np.float64)
+    t = t - t.mean((1, 2), keepdims=True)
+    power = (t * t).sum((1, 2))
+    flat = (np.sqrt(power / area) < FLAT) | (a.std((1, 2)) < FLAT)
+    best = np.zeros(len(a))
+    for y in range(side - template + 1):
+        for x in range(side - template + 1):
+            view = a[:, y : y + template, x : x + template]
+            spread = np.sqrt(np.maximum((view * view).sum((1, 2)) - view.sum((1, 2)) ** 2 / area, 0) * power)
+            fit = np.divide((view * t).sum((1, 2)), spread, out=np.zeros(len(a)), where=spread > 1e-9)
+            best = np.maximum(best, fit)
+    return np.where(flat, 0.0, best)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, template: int) -> float:
-    """Greatest normalised correlation of the middle of ``b`` (template x template) with ``a``, over all places in ``a``; 0 if either is flat."""
-    n = a.shape[0]
-    template = min(template, n)
-    off = (n - template) // 2
-    t = b[off : off + template, off : off + template].astype(np.float64)
-    if t.std() < 1e-3 or a.std() < 1e-3:
-        return 0.0
-    t = t - t.mean()
-    views = np.lib.stride_tricks.sliding_window_view(a.astype(np.float64), (template, template))
-    dots = np.einsum("ijkl,kl->ij", views, t)
-    area = template * template
-    sums, squares = views.sum((2, 3)), (views**2).sum((2, 3))
-    spread = np.sqrt(np.maximum(squares - sums**2 / area, 0) * (t * t).sum())
-    return float(max(0.0, np.max(np.divide(dots, spread, out=np.zeros_like(dots), where=spread > 1e-9))))
+    """aligned_all() of one pair."""
+    return float(aligned_all(a[None], b[None], template)[0])
+
+
+def tile_similarity(a: Column, b: Column, side: int = 64, template: int = 48) -> Column:
+    """The aligned score of two columns of stored tiles (side * side bytes)."""
+
+    @F.pandas_udf("double")
+    def best(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.zeros(len(x))
+        for at in range(0, len(x), 256):
+            one, two = (np.stack([np.frombuffer(t, np.uint8) for t in s.iloc[at : at + 256]]).reshape(-1, side, side) for s in (x, y))
+            out[at : at + 256] = aligned_all(one, two, template)
+        return pd.Series(out)
+
+    return F.when(a.isNotNull() & b.isNotNull(), best(F.coalesce(a, F.lit(bytes(side * side))), F.coalesce(b, F.lit(bytes(side * side)))))

@@ -15,7 +15,7 @@ from quiresift.functions.text import human_size, natural_key, normal_path, suspe
 from quiresift.operators import evaluate, groups, pairs, report, similarity
 from quiresift.scratch import keep
 from quiresift.sources import sinks, store, tables
-from quiresift.streaming.ingest import run_to_table, windowed_counts
+from quiresift.streaming.ingest import run_to_table, windows_to_table
 
 LIMITS = Thresholds()
 #: The first pass of documents: fewer lines than a book has pages.
@@ -60,22 +60,6 @@ def item_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.document_lines(spark, sf_dir).select("book", "idx", vectors.item_hash(F.col("line")).alias("item"), "blank")
 
 
-@query(
-    r"""
-WITH n AS (
-  SELECT page_id, regexp_replace(split_part(url, '/', 3), '^(www|m|blog)\.', '') AS host, lower(regexp_replace(url, '^.*/', '')) AS base FROM pages WHERE url NOT LIKE '%/'
-), k AS (
-  SELECT *, list_transform(regexp_extract_all(base, '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(length(regexp_replace(p, '^0+(\d)', '\1'))::VARCHAR, 4, '0') || regexp_replace(p, '^0+(\d)', '\1') ELSE p END) AS parts FROM n
-)
-SELECT page_id, host, (row_number() OVER (PARTITION BY host ORDER BY CASE WHEN regexp_matches(base, '^\d') THEN list_concat([''], parts) ELSE parts END, page_id) - 1)::INT AS idx FROM k
-"""
-)
-def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.regexp_replace(F.element_at(F.split("url", "/"), 3), r"^(www|m|blog)\.", "")
-    pages = tables.read(spark, sf_dir, "pages").where("url NOT LIKE '%/'").select("page_id", host.alias("host"), natural_key(F.col("url")).alias("key"))
-    return pages.select("page_id", "host", (F.row_number().over(Window.partitionBy("host").orderBy("key", "page_id")) - 1).alias("idx"))
-
-
 @query(
     r"""
 WITH n AS (
@@ -86,8 +70,8 @@ WITH n AS (
 SELECT page_id, host, (row_number() OVER (PARTITION BY host ORDER BY CASE WHEN regexp_matches(base, '^\d') THEN list_concat([''], parts) ELSE parts END, page_id) - 1)::INT AS idx FROM k
 """
 )
-def natural_order_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """natural_order of every page: names that are empty stand first, pages without a URL are of the host ''."""
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: names that are empty stand first, pages without a URL are of the host ''."""
     url = F.coalesce("url", F.lit(""))
     host = F.regexp_replace(F.coalesce(F.get(F.split(url, "/"), 2), F.lit("")), r"^(www|m|blog)\.", "")
     pages = tables.read(spark, sf_dir, "pages").select("page_id", host.alias("host"), natural_key(url).alias("key"))
@@ -288,25 +272,6 @@ def voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.votes(similar(spark, sf_dir), 0.35, 3)
 
 
-@query(
-    """
-WITH u AS (
-  SELECT label, vec_id, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS v
-  FROM (SELECT label, vec_id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS c FROM embeddings)
-), s AS (
-  SELECT CASE WHEN a.label = b.label THEN 'same' ELSE 'different' END AS kind, list_inner_product(a.v, b.v) AS score FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 OR b.vec_id = a.vec_id + 7
-)
-SELECT kind, count(*) AS n, round(min(score), 6) AS least, round(quantile_cont(score, 0.05), 6) AS p5, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.99), 6) AS p99, round(max(score), 6) AS greatest FROM s GROUP BY kind
-"""
-)
-def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = tables.embedding_pages(spark, sf_dir).select("book", "idx", vectors.unit(F.col("vector")).alias("v"))
-    a = units.select(F.col("book").alias("ab"), F.col("v").alias("av"), F.explode(F.array(F.col("idx") + 1, F.col("idx") + 7)).alias("idx"))
-    scores = a.join(units, "idx").select(F.when(F.col("ab") == F.col("book"), "same").otherwise("different").alias("kind"), vectors.dot(F.col("av"), F.col("v")).alias("score"))
-    told = evaluate.percentiles(scores, "kind", "score")
-    return told.select("kind", "n", *[F.round(c, 6).alias(c) for c in ("least", "p5", "median", "p99", "greatest")])
-
-
 @query(
     """
 WITH u AS (
@@ -318,15 +283,15 @@ WITH u AS (
 SELECT kind, count(*) AS n, round(min(score), 6) AS least, round(quantile_cont(score, 0.05), 6) AS p5, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.99), 6) AS p99, round(max(score), 6) AS greatest FROM s GROUP BY kind
 """
 )
-def calibration_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """calibration over every pair of vectors."""
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every pair of vectors."""
     told = similarity.score_percentiles(tables.embedding_pages(spark, sf_dir), {"p5": 0.05, "median": 0.5, "p99": 0.99})
     return told.select("kind", "n", *[F.round(c, 6).alias(c) for c in ("least", "p5", "median", "p99", "greatest")])
 
 
 @query(
-    """
-WITH pairs AS (SELECT a.vec_id AS a_idx, b.vec_id AS b_idx, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+    f"""
+WITH {COSINE}, pairs AS (SELECT a_idx, b_idx, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM hits JOIN embeddings a ON a.vec_id = a_idx JOIN embeddings b ON b.vec_id = b_idx
 ), t AS (
   SELECT a_idx, b_idx, x, list_transform(range(0, 36), lambda i: y[((i // 6) + 1) * 8 + (i % 6) + 2]) AS t FROM pairs
 ), w AS (
@@ -338,14 +303,17 @@ SELECT a_idx, b_idx, round(greatest(0.0::DOUBLE, max(r)), 6) AS aligned FROM r G
 """
 )
 def aligned_ncc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aligned score of all pairs that the coarse one finds."""
     pages = tables.embedding_pages(spark, sf_dir).select("idx", "vector")
+    side = lambda k: pages.select(F.col("idx").alias(f"{k}_idx"), F.col("vector").alias(k))
+    found = similar(spark, sf_dir).select("a_idx", "b_idx").join(side("a"), "a_idx").join(side("b"), "b_idx")
 
     @F.pandas_udf("double")
     def best(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity.aligned(np.asarray(a, np.float64).reshape(8, 8), np.asarray(b, np.float64).reshape(8, 8), 6) for a, b in zip(x, y, strict=True)])
+        grids = [np.stack([np.asarray(v, np.float64) for v in side_]).reshape(-1, 8, 8) if len(side_) else np.zeros((0, 8, 8)) for side_ in (x, y)]
+        return pd.Series(similarity.aligned_all(*grids, 6))
 
-    following = pages.select((F.col("idx") - 1).alias("idx"), F.col("idx").alias("b_idx"), F.col("vector").alias("other"))
-    return pages.join(following, "idx").select(F.col("idx").alias("a_idx"), "b_idx", F.round(best("vector", "other"), 6).alias("aligned"))
+    return found.select("a_idx", "b_idx", F.round(best("a", "b"), 6).alias("aligned"))
 
 
 # Pairs ----------------------------------------------------------------------
@@ -379,18 +347,12 @@ def greedy_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("a", "b", F.col("n_match").cast("long").alias("n_match"), F.col("chain").cast("long").alias("chain"))
 
 
-@query(f"WITH {OVERLAP} SELECT a, b, rough, n_match, chain FROM sc WHERE (rough >= 3 OR rough >= 0.2 * span) AND (n_match >= 3 OR n_match >= 0.2 * span) AND (chain >= 3 OR chain >= 0.2 * span)")
-def prefilter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passed = pairs.first_pass(document_cells(spark, sf_dir), tables.document_books(spark, sf_dir), FIRST)
-    return passed.select("a", "b", *[F.col(c).cast("long").alias(c) for c in ("rough", "n_match", "chain")])
-
-
 ANY_OVERLAP = OVERLAP.replace(" HAVING count(*) >= 3", "")
 
 
 @query(f"WITH {ANY_OVERLAP} SELECT a, b, rough, n_match, chain FROM sc WHERE (rough >= 3 OR rough >= 0.2 * span) AND (n_match >= 3 OR n_match >= 0.2 * span) AND (chain >= 3 OR chain >= 0.2 * span)")
-def prefilter_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """prefilter_pairs over all pairs: short documents pass by their share of one or two lines."""
+def prefilter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all pairs: short documents pass by their share of one or two lines."""
     items, books = tables.document_items(spark, sf_dir), tables.document_books(spark, sf_dir)
     passed = pairs.first_pass(pairs.equal_cells(items, pairs.worth_asking(items, books, FIRST)), books, FIRST)
     return passed.select("a", "b", *[F.col(c).cast("long").alias(c) for c in ("rough", "n_match", "chain")])
@@ -497,13 +459,16 @@ def removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{RECURSIVE} SELECT gid::INT AS "组号", CASE WHEN kept THEN '★保留' ELSE '' END AS "建议保留", regexp_replace(path, '^.*/', '') AS "单行本名称", '压缩包' AS "载体", size AS "文件大小(字节)", place::INT AS place, kept.matched AS "成链页数", relation AS "关系", path AS "完整路径" FROM kept JOIN ranked USING (grp)"""
+    f"""{RECURSIVE} SELECT gid::INT AS "组号", CASE WHEN kept.kept THEN '★保留' ELSE '' END AS "建议保留", regexp_replace(path, '^.*/', '') AS "单行本名称", '压缩包' AS "载体", d.lang AS "格式", size AS "文件大小(字节)",
+  CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.2f KB', round_even(size / 1024.0::DOUBLE, 2)) ELSE printf('%.2f MB', round_even(size / 1048576.0::DOUBLE, 2)) END AS "文件大小",
+  b.pages::INT AS "图片总页数", b.usable::INT AS "抽样页数", printf('%.3f', kept.score) AS "组内相似度", kept.matched AS "成链页数", printf('%.2f', kept.ratio) AS "命中率", relation AS "关系", path AS "完整路径", place::INT AS place
+FROM kept JOIN ranked USING (grp) JOIN books b ON b.book = kept.book JOIN documents d ON d.doc_id = kept.book"""
 )
 def duplicate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, books = document_members(spark, sf_dir)
     told = rows.join(report.group_report(rows).select("grp", "gid"), "grp").join(books.select("book", "kind", "fmt", "pages", F.col("usable").alias("sampled")), "book")
     listed = sinks.duplicate_list(told.withColumn("matched", F.col("matched").cast("long")))
-    return listed.join(told.select(F.col("path").alias("完整路径"), "place"), "完整路径").drop("格式", "文件大小", "图片总页数", "抽样页数", "组内相似度", "命中率")
+    return listed.join(told.select(F.col("path").alias("完整路径"), "place"), "完整路径")
 
 
 @query(
@@ -524,20 +489,6 @@ def cache_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delta(found, stale, ["path", "size"])
 
 
-@query(
-    """
-WITH stored AS (SELECT event_id % 500 AS path, event_id AS scanned_at, event_type AS status FROM events WHERE event_id < 2000
-), new AS (SELECT event_id % 700 AS path, event_id AS scanned_at, event_type AS status FROM events WHERE event_id >= 1500 AND event_id < 4000
-), a AS (SELECT *, 0 AS n FROM stored UNION ALL SELECT *, 1 FROM new)
-SELECT path, scanned_at, status FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, n DESC) AS r FROM a) WHERE r = 1
-"""
-)
-def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = tables.read(spark, sf_dir, "events")
-    row = lambda m: [(F.col("event_id") % m).alias("path"), F.col("event_id").alias("scanned_at"), F.col("event_type").alias("status")]
-    return store.upsert(events.where("event_id < 2000").select(*row(500)), events.where("event_id >= 1500 AND event_id < 4000").select(*row(700)))
-
-
 @query(
     """
 WITH e AS (SELECT user_id AS path, ts, event_id, event_type AS status, epoch_us(ts) AS t FROM events
@@ -546,7 +497,7 @@ WITH e AS (SELECT user_id AS path, ts, event_id, event_type AS status, epoch_us(
 SELECT path, ts, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC, n DESC) AS r FROM a) WHERE r = 1
 """
 )
-def store_upsert_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' last events: a store of the first three fifths of the time, and a scan of the last three."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.struct("ts", "event_id").alias("scanned_at"), F.col("event_type").alias("status"), t.alias("t"))
@@ -578,26 +529,14 @@ def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stats(books, "en")
 
 
-@query(
-    f"""WITH {OVERLAP}, truth AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.lang = y.lang AND x.n_chars = y.n_chars AND substr(x.text, 1, 40) = substr(y.text, 1, 40) AND x.doc_id < y.doc_id
-), joined AS (SELECT t.a IS NOT NULL AS t, o.a IS NOT NULL AS f FROM truth t FULL JOIN (SELECT a, b FROM ok) o ON t.a = o.a AND t.b = o.b)
-SELECT count(*) FILTER (t) AS expected, count(*) FILTER (f) AS found, count(*) FILTER (t AND f) AS hit, count(*) FILTER (t AND NOT f) AS missed, count(*) FILTER (f AND NOT t) AS unsupported,
-  round(count(*) FILTER (t AND f) / nullif(count(*) FILTER (t), 0), 6) AS recall, round(count(*) FILTER (t AND f) / nullif(count(*) FILTER (f), 0), 6) AS support FROM joined"""
-)
-def proxy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.substring("text", 1, 40).alias("lead"))
-    told = evaluate.recall(evaluate.pairs_of(docs, "doc_id", ["lang", "n_chars", "lead"]), document_pairs(spark, sf_dir))
-    return told.select("expected", "found", "hit", "missed", "unsupported", F.round("recall", 6).alias("recall"), F.round("support", 6).alias("support"))
-
-
 @query(
     f"""WITH {OVERLAP}, truth AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.lang = y.lang AND x.n_chars = y.n_chars AND x.text = y.text AND x.doc_id < y.doc_id
 ), joined AS (SELECT t.a IS NOT NULL AS t, o.a IS NOT NULL AS f FROM truth t FULL JOIN (SELECT a, b FROM ok) o ON t.a = o.a AND t.b = o.b)
 SELECT count(*) FILTER (t) AS expected, count(*) FILTER (f) AS found, count(*) FILTER (t AND f) AS hit, count(*) FILTER (t AND NOT f) AS missed, count(*) FILTER (f AND NOT t) AS unsupported,
   round(count(*) FILTER (t AND f) / nullif(count(*) FILTER (t), 0), 6) AS recall, round(count(*) FILTER (t AND f) / nullif(count(*) FILTER (f), 0), 6) AS support FROM joined"""
 )
-def proxy_recall_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """proxy_recall whose truth is equal texts, by a digest of all of them."""
+def proxy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truth is equal texts, by a digest of all of them."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("digest"))
     told = evaluate.recall(evaluate.pairs_of(docs, "doc_id", ["lang", "n_chars", "digest"]), document_pairs(spark, sf_dir))
     return told.select("expected", "found", "hit", "missed", "unsupported", F.round("recall", 6).alias("recall"), F.round("support", 6).alias("support"))
@@ -610,7 +549,8 @@ def event_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = windowed_counts(tables.read(spark, sf_dir, "events"), "ts", "event_type", "value", "1 hour", "10 minutes")
+    """Through a stream with a watermark."""
+    told = windows_to_table(spark, sf_dir, "events.parquet", "event-windows", "ts", "event_type", "value", "1 hour", "10 minutes")
     return told.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 

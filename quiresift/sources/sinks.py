@@ -29,9 +29,9 @@ def duplicate_list(rows: DataFrame) -> DataFrame:
         human_size(F.col("size")),
         F.col("pages"),
         F.col("sampled"),
-        F.format_string("%.3f", "score"),
+        F.format_number("score", 3),
         F.col("matched"),
-        F.format_string("%.2f", "ratio"),
+        F.format_number("ratio", 2),
         F.col("relation"),
         F.col("path"),
     ]

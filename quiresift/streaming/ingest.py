@@ -39,6 +39,21 @@ def windowed_counts(events: DataFrame, time: str, by: str, value: str, size: str
     return rows.groupBy(F.window(time, size).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
+def windows_to_table(spark: SparkSession, source: str, pattern: str, label: str, time: str, by: str, value: str, size: str, late: str) -> DataFrame:
+    """windowed_counts() of everything in ``source`` that matches, through a stream that updates windows batch by batch; each window as it was told last."""
+    import uuid
+
+    base = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(source).schema
+    kind = schema[time].dataType.simpleString()
+    events = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source).withColumn(time, F.col(time).cast("timestamp"))
+    told = windowed_counts(events, time, by, value, size, late)
+    told.writeStream.outputMode("update").foreachBatch(append_by_batch(f"{base}/out")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{base}/out")
+    last = found.groupBy("start", by).agg(F.max_by(F.struct("n", "total"), "batch").alias("told"))
+    return last.select(F.col("start").cast(kind).alias("start"), by, "told.*")
+
+
 def run_to_table(spark: SparkSession, source: str, pattern: str, label: str) -> DataFrame:
     """Everything in ``source`` that matches, through a stream, as a table."""
     import uuid

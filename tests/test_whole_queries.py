@@ -1,4 +1,4 @@
-"""Queries that do the whole job where an older one's SQL has a cut."""
+"""Queries do the whole job."""
 
 import random
 from collections import Counter, defaultdict
@@ -40,7 +40,7 @@ def test_upsert_reads_all_events(spark, tmp_path):
     last = {}
     for e, s, u, kind in events:
         last[u] = max(last.get(u, (0, 0, "")), (s, e, kind))
-    got = {r.path: (int(r.ts.timestamp()), r.event_id, r.status) for r in queries.store_upsert_all_events(spark, str(tmp_path)).selectExpr("path", "ts", "event_id", "status").collect()}
+    got = {r.path: (int(r.ts.timestamp()), r.event_id, r.status) for r in queries.store_upsert(spark, str(tmp_path)).selectExpr("path", "ts", "event_id", "status").collect()}
     assert {u: x[1:] for u, x in got.items()} == {u: x[1:] for u, x in last.items()}
 
 
@@ -62,7 +62,7 @@ def test_percentiles_of_all_pairs(spark, block):
 def test_order_has_every_page(spark, tmp_path):
     data = [(1, "http://a.example/p10"), (2, "http://www.a.example/p9"), (3, "http://a.example/x/"), (4, "http://a.example/"), (5, None), (6, "nothing")]
     spark.createDataFrame(data, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = queries.natural_order_all_pages(spark, str(tmp_path))
+    got = queries.natural_order(spark, str(tmp_path))
     assert rows(got) == [(1, "a.example", 3), (2, "a.example", 2), (3, "a.example", 0), (4, "a.example", 1), (5, "", 0), (6, "", 1)]
 
 
@@ -70,4 +70,4 @@ def test_truth_is_whole_texts(spark, tmp_path):
     begin = "the same forty characters at the beginning of all: "
     texts = [begin + "one", begin + "two", begin + "one"]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    assert queries.proxy_recall_whole_texts(spark, str(tmp_path)).first().expected == 1
+    assert queries.proxy_recall(spark, str(tmp_path)).first().expected == 1
