@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from quiresift.config import PRESETS, Thresholds
+from quiresift.functions import crop
 from quiresift.plans import books
 from quiresift.sources import library, sinks, store
 
@@ -27,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--pre-ratio", type=float, default=Thresholds.pre_ratio)
     p.add_argument("--chain-floor", type=int, default=Thresholds.chain_floor)
     p.add_argument("--guard", choices=["reference", "strict"], default=Thresholds.guard)
-    p.add_argument("--crop", choices=["bed", "none"], default="bed")
+    p.add_argument("--crop", choices=crop.MODES, default="bed")
     p.add_argument("--no-deskew", action="store_true")
     p.add_argument("--no-cache", action="store_true")
     p.add_argument("--keep-features", action="store_true")

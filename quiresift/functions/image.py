@@ -92,38 +92,6 @@ def median3(gray: np.ndarray) -> np.ndarray:
     return ordered(ordered(*beside(least))[2], ordered(*beside(middle))[1], ordered(*beside(greatest))[0])[1]
 
 
-def _dark_ends(levels: np.ndarray) -> tuple[int, int]:
-    """How many dark lines to take from either end, of at most TRIM_SHARE; none if little would stay."""
-    n = len(levels)
-    if n < 24:
-        return 0, 0
-    most = max(1, int(n * TRIM_SHARE))
-    dark = levels < DARK
-    front = int(np.argmin(np.append(dark[:most], False)))
-    back = int(np.argmin(np.append(dark[::-1][:most], False)))
-    return (front, back) if n - front - back >= 16 else (0, 0)
-
-
-def bed_box(gray: np.ndarray) -> tuple[int, int, int, int]:
-    """(top, bottom, left, right) without a scanner's dark lid around the page."""
-    h, w = gray.shape
-    view = np.round(fitted(gray, CROP_VIEW, grow=False))
-    vh, vw = view.shape
-    if vh < 24 or vw < 24:
-        return 0, h, 0, w
-    view = median3(view)
-    top, bottom, left, right = 0, vh, 0, vw
-    for _ in range(2):
-        front, back = _dark_ends(view[top:bottom, left:right].mean(1))
-        top, bottom = top + front, bottom - back
-        front, back = _dark_ends(view[top:bottom, left:right].mean(0))
-        left, right = left + front, right - back
-    box = round(top * h / vh), min(h, round(bottom * h / vh)), round(left * w / vw), min(w, round(right * w / vw))
-    if min((bottom - top) / vh, (right - left) / vw, (box[1] - box[0]) / h, (box[3] - box[2]) / w) < KEEP_SHARE:
-        return 0, h, 0, w
-    return box
-
-
 def turned(gray: np.ndarray, degrees: float, grow: bool) -> np.ndarray:
     """Rotated about its middle, by lines; outside stands the nearest edge cell."""
     h, w = gray.shape
@@ -226,15 +194,13 @@ def profile_hash(grid: np.ndarray) -> int:
 
 
 def features(gray: np.ndarray | None, crop: str = "bed", straighten: bool = True) -> dict | None:
-    """phash, bhash32, tile, map16, aspect, std, ink, px and blank of a page; null if it cannot be one."""
+    """phash, bhash32, tile, map16, aspect, std, ink, px and blank of a page; null if it cannot be one. crop: a mode of crop.box()."""
+    from quiresift.functions.crop import box
+
     if gray is None or gray.ndim != 2 or not gray.size:
         return None
     px = gray.size
-    if crop == "bed":
-        top, bottom, left, right = bed_box(gray)
-        gray = gray[top:bottom, left:right]
-    elif crop != "none":
-        raise ValueError(f"crop: bed or none, not {crop}")
+    gray = box(gray, crop).of(gray)
     if straighten and (degrees := skew(gray)):
         gray = np.round(turned(gray, degrees, grow=True))
     h, w = gray.shape

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quiresift.config import PRESETS, Sampling
-from quiresift.functions import image, sequence, text, vectors
+from quiresift.functions import crop, image, sequence, text, vectors
 from quiresift.functions.sampling import sample_pages
 from quiresift.sources.library import sort_key
 
@@ -190,6 +190,42 @@ def test_png_round_trip_and_crop():
     small = image.read_png(image.thumbnail(page, 100))
     assert small.shape == (100, 73) and abs(small.mean() - page.mean()) < 2
     framed = np.pad(page, 30, constant_values=10)
-    top, bottom, left, right = image.bed_box(framed.astype(float))
+    top, bottom, left, right = crop.box(framed.astype(float))
     assert abs(top - 30) <= 2 and abs(bottom - 330) <= 2 and abs(left - 30) <= 2 and abs(right - 250) <= 2
     assert abs(image.skew(image.turned(page.astype(float), 2.0, grow=False)) + 2.0) <= 0.61
+
+
+def test_crop_modes():
+    rng = np.random.default_rng(4)
+    page = np.full((400, 300), 235.0)
+    page[60:340, 45:255] = (np.add.outer(np.arange(28), np.arange(21)) % 2).repeat(10, 0).repeat(10, 1) * 200.0 + 20
+    lid = np.clip(np.pad(page, 20, constant_values=15.0) * np.linspace(0.85, 1.0, 340)[None, :] + rng.normal(0, 2, (440, 340)), 0, 255)
+    near = lambda got, want, by: all(abs(g - w) <= by for g, w in zip(got, want, strict=True))
+    assert near(crop.box(lid, "bed"), (20, 420, 20, 320), 3) and crop.box(lid, "none") == (0, 440, 0, 340)
+    for mode in ("edge", "paper"):
+        assert near(crop.box(lid, mode), (80, 360, 65, 275), 12)
+    inner = crop.box(page, "mass")
+    assert inner.top >= 60 and inner.bottom <= 340 and inner.left >= 45 and inner.right <= 255 and near(inner, (68, 332, 51, 249), 15)
+    for mode in crop.MODES:
+        assert crop.box(np.full((200, 150), 240.0), mode) == (0, 200, 0, 150) and crop.box(np.zeros((10, 9)), mode) == (0, 10, 0, 9)
+        assert image.features(lid, mode)["px"] == lid.size
+    with pytest.raises(ValueError, match="crop"):
+        image.features(lid, "other")
+
+
+def test_patches_and_levels():
+    cells = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 0, 1]], bool)
+    assert sorted((n, tuple(f)) for n, f in crop.patches(cells)) == [(1, (3, 4, 3, 4)), (2, (0, 2, 0, 2)), (2, (0, 2, 3, 4)), (2, (3, 4, 0, 2))]
+    assert 20 < crop.two_levels(np.array([10.0] * 50 + [20.0] * 50 + [200.0] * 30)) < 200 and crop.two_levels(np.full(9, 4.0)) == 4.0
+    bars = np.ones((40, 40), bool)
+    bars[:, 18:21] = False
+    assert crop.closed(bars)[10:30, 10:30].all()
+
+
+def test_stored_tiles(spark):
+    from quiresift.operators.similarity import aligned, tile_similarity
+
+    tiles = [image.features(drawn(s))["tile"] for s in range(3)]
+    got = spark.createDataFrame([(a, b) for a in [*tiles, None] for b in tiles], "a binary, b binary").select(tile_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    grid = lambda t: np.frombuffer(t, np.uint8).reshape(64, 64)
+    assert np.allclose([r.s for r in got[:9]], [aligned(grid(a), grid(b), 48) for a in tiles for b in tiles]) and all(r.s is None for r in got[9:])
