@@ -62,18 +62,36 @@ def worth_asking(items: DataFrame, books: DataFrame, limits: Thresholds) -> Data
 
 
 def equal_cells(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, cells): for each of ``pairs`` the places (a_idx, b_idx, score 1) of equal items."""
-    a, b = items.select(F.col("book").alias("a"), F.col("idx").alias("a_idx"), "item"), items.select(F.col("book").alias("b"), F.col("idx").alias("b_idx"), "item")
-    cells = pairs.join(a, "a").join(b, ["b", "item"])
-    return cells.groupBy("a", "b").agg(F.collect_list(F.struct("a_idx", "b_idx", F.lit(1.0).alias("score"))).alias("cells"))
+    """(a, b, cells, rough): for each of ``pairs`` the places (a_idx, b_idx, score 1) of equal items, one to one; rough: how many places are equal at all.
+
+    The k-th occurrence of an item in one book goes with the k-th in the other,
+    which is what a greedy match of all equal places takes; so a line that two
+    books repeat thousands of times gives thousands of cells, not millions.
+    """
+    turn = F.row_number().over(Window.partitionBy("book", "item").orderBy("idx"))
+    placed = items.select("book", "item", "idx", turn.alias("turn"))
+    side = lambda k: placed.select(F.col("book").alias(k), F.col("idx").alias(f"{k}_idx"), "item", "turn")
+    cells = pairs.join(side("a"), "a").join(side("b"), ["b", "item", "turn"]).groupBy("a", "b").agg(F.collect_list(F.struct("a_idx", "b_idx", F.lit(1.0).alias("score"))).alias("cells"))
+    times = items.groupBy("book", "item").agg(F.count(F.lit(1)).alias("times"))
+    of = lambda k: times.select(F.col("book").alias(k), "item", F.col("times").alias(f"{k}_times"))
+    rough = pairs.join(of("a"), "a").join(of("b"), ["b", "item"]).groupBy("a", "b").agg(F.sum(F.col("a_times") * F.col("b_times")).alias("rough"))
+    return cells.join(rough, ["a", "b"])
+
+
+def matches_of(cells: DataFrame, least: float) -> Column:
+    """The greedy matches of ``cells``; those of equal_cells() are one to one as they are."""
+    if "rough" not in cells.columns:
+        return greedy_match(F.col("cells"), least)
+    return F.array_sort(F.transform(F.filter("cells", lambda c: c["score"] >= least), lambda c: F.struct(c["a_idx"].cast("int").alias("a_idx"), c["b_idx"].cast("int").alias("b_idx"), c["score"].cast("double").alias("score"))))
 
 
 def first_pass(cells: DataFrame, books: DataFrame, limits: Thresholds) -> DataFrame:
     """Pairs worth an exact look: enough cells, then enough matches and a long enough chain, in number or in share."""
     sized = with_sizes(cells, books)
     enough = lambda n: (n >= limits.pre_min) | (n >= F.lit(limits.pre_ratio) * F.col("span"))
-    rough = sized.withColumn("rough", F.size(F.filter("cells", lambda c: c["score"] >= limits.coarse))).where(enough(F.col("rough")))
-    matched = rough.withColumn("matches", greedy_match(F.col("cells"), limits.coarse))
+    if "rough" not in cells.columns:
+        sized = sized.withColumn("rough", F.size(F.filter("cells", lambda c: c["score"] >= limits.coarse)))
+    matched = sized.where(enough(F.col("rough"))).withColumn("matches", matches_of(cells, limits.coarse))
     chained = matched.withColumn("n_match", F.size("matches")).withColumn("chain", longest_chain(F.col("matches")))
     return chained.where(enough(F.col("n_match")) & enough(F.col("chain"))).select("a", "b", "rough", "n_match", "chain")
 
@@ -85,7 +103,7 @@ def with_sizes(pairs: DataFrame, books: DataFrame) -> DataFrame:
 
 def scored(cells: DataFrame, books: DataFrame, limits: Thresholds) -> DataFrame:
     """Every pair's matches, n_match, chain, ratio, score, pages_agree and relation."""
-    out = with_sizes(cells, books).withColumn("matches", greedy_match(F.col("cells"), limits.page)).withColumn("n_match", F.size("matches"))
+    out = with_sizes(cells, books).withColumn("matches", matches_of(cells, limits.page)).withColumn("n_match", F.size("matches"))
     out = out.withColumn("chain", longest_chain(F.col("matches"))).withColumn("ratio", F.col("chain") / F.col("span"))
     total = F.aggregate("matches", F.lit(0.0), lambda s, m: s + m["score"])
     out = out.withColumn("score", F.when(F.col("n_match") > 0, total / F.col("n_match"))).withColumn("pages_agree", F.forall("matches", lambda m: m["a_idx"] == m["b_idx"]))

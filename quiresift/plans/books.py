@@ -88,6 +88,35 @@ def exact_cells(candidates: DataFrame, pages: DataFrame, limits: Thresholds) ->
     return rows.groupBy("a", "b").applyInPandas(compare, "a long, b long, cells array<struct<a_idx: int, b_idx: int, score: double>>").where("size(cells) > 0")
 
 
+def self_test(spark: SparkSession, folder: str) -> dict[str, bool]:
+    """Whether a small library, drawn into ``folder`` (shared with the executors, local to the driver), is scanned and grouped as it should be."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    def drawn(seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        page = np.full((240, 170), 245.0)
+        for y, x, h, w, level in zip(rng.integers(5, 190, 14), rng.integers(5, 120, 14), rng.integers(8, 45, 14), rng.integers(8, 45, 14), rng.integers(0, 120, 14), strict=True):
+            page[y : y + h, x : x + w] = level
+        return page
+
+    for name, seeds in (("one.cbz", range(10)), ("two.zip", range(10)), ("other.cbz", range(50, 60))):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for i, seed in enumerate(seeds):
+                z.writestr(f"{i}.png", image.write_png(drawn(seed)))
+        Path(folder, name).write_bytes(data.getvalue())
+    shelf = scan(spark, folder, sampling=PRESETS["all"])
+    found = group(shelf).members.collect()
+    return {
+        "all books are read": shelf.books.where("status = 'ok'").count() == 3,
+        "all pages have features": shelf.pages.count() == 30,
+        "copies are a group": sorted(r.path.rsplit("/", 1)[-1] for r in found) == ["one.cbz", "two.zip"],
+        "one copy is kept": sum(r.kept for r in found) == 1,
+    }
+
+
 @dataclass
 class Grouping:
     members: DataFrame

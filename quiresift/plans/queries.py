@@ -384,7 +384,8 @@ SELECT a, b, len(m) AS n_match, {CHAIN.format(ordered='list_transform(list_sort(
 )
 def shared_order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = keep(tables.order_items(spark, sf_dir), "order-items")
-    cells = pairs.equal_cells(items, pairs.overlapping(items, 2)).withColumn("m", greedy_match(F.col("cells")))
+    cells = pairs.equal_cells(items, pairs.overlapping(items, 2))
+    cells = cells.withColumn("m", pairs.matches_of(cells, 0.0))
     return cells.select("a", "b", F.size("m").cast("long").alias("n_match"), longest_chain(F.col("m")).cast("long").alias("chain"))
 
 

@@ -6,7 +6,7 @@ be written beside the old one and swapped in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresift.functions.text import normal_path
@@ -32,6 +32,13 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "path", order: str = "s
     return both.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_new")
 
 
+def touch(stored: DataFrame, seen: DataFrame, when: Column, key: str = "path") -> DataFrame:
+    """``stored`` with the rows whose ``key`` is in ``seen`` marked as scanned ``when``."""
+    marks = seen.select(F.col(key).alias("_seen")).distinct()
+    marked = stored.join(marks, F.col(key) == F.col("_seen"), "left")
+    return marked.withColumn("scanned_at", F.when(F.col("_seen").isNotNull(), when).otherwise(F.col("scanned_at"))).drop("_seen")
+
+
 def upsert_pages(stored: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     """Pages after a scan: those of scanned books are replaced whole."""
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

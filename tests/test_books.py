@@ -13,6 +13,7 @@ from quiresift.functions.register import register
 from quiresift.functions.sampling import sample_pages
 from quiresift.functions.text import natural_key
 from quiresift.plans import books
+from quiresift.sources import store
 
 
 def drawn(seed):
@@ -75,6 +76,29 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert next((tmp_path / "csv").glob("part-*")).read_text(encoding="utf-8-sig").startswith("组号")
 
 
+def test_command_line_keeps_a_history(spark, root, tmp_path, capsys):
+    data = f"{tmp_path}/data"
+    assert main(["scan", root, "--data-dir", data, "--preset", "quick"], spark) == 0
+    assert main(["verify", "--data-dir", data], spark) == 0 and main(["regroup", "--data-dir", data], spark) == 0
+    assert [(r.note, r.n_books, r.n_groups) for r in spark.read.parquet(f"{data}/store/runs").orderBy("started_at").collect()] == [("scan", 5, 1), ("regroup", 5, 1)]
+    assert spark.read.option("header", "true").csv(f"{data}/log").count() == 2
+    kept = spark.read.parquet(f"{data}/store/pages").where("idx > 1")
+    kept.write.parquet(f"{data}/fewer")
+    spark.read.parquet(f"{data}/fewer").write.mode("overwrite").parquet(f"{data}/store/pages")
+    assert main(["verify", "--data-dir", data], spark) == 1 and "page count" in capsys.readouterr().out
+
+
+def test_self_test(spark, tmp_path, capsys):
+    (tmp_path / "drawn").mkdir()
+    assert main(["selftest", f"{tmp_path}/drawn"], spark) == 0 and "FAILED" not in capsys.readouterr().out
+
+
+def test_touch(spark):
+    stored = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "path string, scanned_at double")
+    seen = spark.createDataFrame([("b",), ("b",), ("c",)], "path string")
+    assert sorted(map(tuple, store.touch(stored, seen, F.lit(5.0)).collect())) == [("a", 1.0), ("b", 5.0)]
+
+
 def test_sql_functions(spark):
     assert len(register(spark)) == 5
     names = ["a10.jpg", "b/2.png", "", "007", "x\\y01z"]

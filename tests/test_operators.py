@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quiresift.config import Thresholds
 from quiresift.operators import evaluate, groups, pairs, report, similarity
@@ -50,6 +51,25 @@ def test_overlapping(spark, least):
     assert rows(got) == sorted(want, key=str)
 
 
+def test_cells_of_items_that_repeat(spark):
+    """One to one cells are what a greedy match of all equal places takes; the same item thousands of times is no problem."""
+    rng = random.Random(8)
+    items = [(book, i, rng.choice("abbbccd")) for book in range(6) for i in range(rng.randrange(5, 15))]
+    df = spark.createDataFrame(items, "book long, idx int, item string")
+    asked = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    got = {(r.a, r.b): r for r in pairs.equal_cells(df, spark.createDataFrame(asked, "a long, b long")).collect()}
+    for a, b in asked:
+        cells = sorted((i, j) for x, i, s in items for y, j, t in items if x == a and y == b and s == t)
+        taken = []
+        for i, j in cells:
+            if all(i != x and j != y for x, y in taken):
+                taken.append((i, j))
+        assert got[a, b].rough == len(cells) and sorted((c.a_idx, c.b_idx) for c in got[a, b].cells) == taken
+    many = spark.range(6000).select((F.col("id") % 2).alias("book"), F.floor(F.col("id") / 2).cast("int").alias("idx"), F.lit("same").alias("item"))
+    held = pairs.equal_cells(many, spark.createDataFrame([(0, 1)], "a long, b long")).first()
+    assert held.rough == 9_000_000 and len(held.cells) == 3000
+
+
 def test_decisions_at_their_limits(spark):
     books = spark.createDataFrame([(i, 40, 40) for i in range(10)], "book long, pages int, usable int")
 
