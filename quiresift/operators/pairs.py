@@ -14,6 +14,10 @@ from quiresift.functions.sequence import greedy_match, longest_chain
 from quiresift.functions.text import relation
 
 
+#: Books of an item beyond which it finds candidates only together with another.
+CROWDED = 64
+
+
 def overlapping(items: DataFrame, least: int) -> DataFrame:
     """(a, b), a < b: books that share at least ``least`` items, one to one.
 
@@ -21,18 +25,25 @@ def overlapping(items: DataFrame, least: int) -> DataFrame:
     all but the last ``least - 1`` find candidates, since a pair that shares
     ``least`` of them shares one of those. So the most frequent items of books
     join nothing. The k-th occurrence of an item in a book is an item of its own.
+    An item on many books finds candidates only with the next one that a pair may share.
+    Keys are 64-bit hashes; what they find is counted by items.
     """
     turn = F.row_number().over(Window.partitionBy("book", "item").orderBy("idx"))
     tokens = items.select("book", "item", turn.alias("turn"))
     frequency = tokens.groupBy("item", "turn").agg(F.count(F.lit(1)).alias("books")).where("books > 1")
     shared = tokens.join(frequency, ["item", "turn"])
     by_rarity = Window.partitionBy("book").orderBy("books", "item", "turn")
-    placed = shared.select("book", "item", "turn", F.row_number().over(by_rarity).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("book")).alias("n")).where(f"n >= {least}")
-    leads = placed.where(F.col("place") <= F.col("n") - (least - 1)).select("book", "item", "turn")
-    a, b = leads.withColumnRenamed("book", "a"), leads.withColumnRenamed("book", "b")
-    asked = a.join(b, ["item", "turn"]).where("a < b").select("a", "b").distinct()
+    placed = shared.select("book", "item", "turn", "books", F.row_number().over(by_rarity).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("book")).alias("n")).where(f"n >= {least}")
+    leads = placed.where(F.col("place") <= F.col("n") - (least - 1))
     if least == 1:
-        return asked
+        a, b = (leads.select(F.col("book").alias(k), "item", "turn") for k in "ab")
+        return a.join(b, ["item", "turn"]).where("a < b").select("a", "b").distinct()
+    keys = leads.where(F.col("books") <= CROWDED).select("book", F.xxhash64("item", "turn").alias("key"))
+    second = placed.where(F.col("place") <= F.col("n") - (least - 2)).select("book", F.col("item").alias("item_2"), F.col("turn").alias("turn_2"), F.col("place").alias("place_2"))
+    crowded = leads.where(F.col("books") > CROWDED).join(second, "book").where("place_2 > place")
+    keys = keys.union(crowded.select("book", F.xxhash64("item", "turn", "item_2", "turn_2").alias("key")))
+    a, b = (keys.withColumnRenamed("book", k) for k in "ab")
+    asked = a.join(b, "key").where("a < b").select("a", "b").distinct()
     own = placed.select("book", "item", "turn")
     left = asked.join(own.withColumnRenamed("book", "a"), "a")
     both = left.join(own.withColumnRenamed("book", "b"), ["b", "item", "turn"])

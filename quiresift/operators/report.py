@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresift.functions.text import basename, suspects
+from quiresift.operators.numbering import numbered
 
 #: A copy's resolution counts as the best from this share of the group's best. Fixed value.
 PX_SHARE = 0.85
@@ -52,7 +53,7 @@ def with_keep(rows: DataFrame) -> DataFrame:
 def group_report(rows: DataFrame) -> DataFrame:
     """One row a group: members, total and wasted size, greatest score and chain; numbered from the most wasted.
 
-    rows: with_keep(). The numbering orders one row a group.
+    rows: with_keep(). Groups are numbered over range partitions.
     """
     told = rows.groupBy("grp").agg(
         F.count(F.lit(1)).alias("members"),
@@ -62,7 +63,7 @@ def group_report(rows: DataFrame) -> DataFrame:
         F.max("matched").alias("matched"),
         F.max(F.when(F.col("kept"), F.col("book"))).alias("keep_book"),
     )
-    return told.withColumn("gid", F.row_number().over(Window.orderBy(F.desc("wasted"), F.desc("score"), "grp")))
+    return numbered(told, [F.desc("wasted"), F.desc("score"), F.asc("grp")], "gid")
 
 
 def named(rows: DataFrame, part: str) -> DataFrame:

@@ -39,8 +39,10 @@ def test_components(spark, seed):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [1, 64])
 @pytest.mark.parametrize("least", [1, 2, 3])
-def test_overlapping(spark, least):
+def test_overlapping(spark, monkeypatch, least, crowded):
+    monkeypatch.setattr(pairs, "CROWDED", crowded)
     rng = random.Random(least)
     items = [(b, i, min(int(rng.expovariate(0.15)), 40)) for b in range(40) for i in range(rng.randrange(0, 9))]
     held = defaultdict(Counter)
@@ -177,6 +179,16 @@ def test_reports(spark):
     assert [tuple(m)[:2] for m in back[3, 2]] == [(3, 2)]
 
 
+def test_numbers_over_partitions(spark):
+    from quiresift.operators.numbering import numbered
+
+    rng = random.Random(9)
+    data = [(i, rng.randrange(50)) for i in range(2000)]
+    got = numbered(spark.createDataFrame(data, "k long, v long").repartition(9), [F.desc("v"), F.asc("k")], "place").collect()
+    assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.place)] == sorted(data, key=lambda r: (-r[1], r[0])) and sorted(r.place for r in got) == list(range(1, 2001))
+    assert numbered(spark.createDataFrame([], "k long"), [F.asc("k")], "place").count() == 0
+
+
 def test_evaluation(spark):
     truth = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long")
     found = spark.createDataFrame([(2, 1), (3, 4), (3, 4), (8, 9)], "a long, b long")
