@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quiresift.llm import sizes
 from quiresift.llm.columns import let, lower_ascii, words_between
-from quiresift.scratch import keep
+from quiresift.scratch import freed, keep
 
 #: What stands between words: all of ASCII but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -180,29 +180,31 @@ def contaminated(
     others. An empty table of items hits nothing. Other columns play no part.
     """
     base = keyed(docs, id_col, text_col)
-    index = keep(build_index(base), "postings")
-    entries = keep(entries_of(items, item_col, item_text_col), "entries")
-    windows = keep(windows_of(entries, window), "windows")
-    counts = keep(count_terms(index, entries.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term")).distinct()), "term-counts")
-    found = window_matches(base, index, keep(sought(windows, entries, counts, rarest), "windows-sought"))
-
-    named = windows.groupBy("phrase").agg(F.min(F.struct("entry", "start")).alias("at"), F.collect_set(F.col("item_id").cast("string")).alias("named"))
-    found = found.join(named.select("at.*", "named"), ["entry", "start"])
-    per_doc = found.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("named")))).alias("items"),
-    )
-    covered = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
-        lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["at"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s["stop"]).alias("upto")),
-    )
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash"))
-    per_doc = per_doc.select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), covered["n"].alias("hit"), "items")
-    out = index.where("position = 0").join(per_doc, same, "left").drop("at_id", "at_hash")
-    if near:
-        close = near_items(index, entries, counts, near_terms, near_words)
-        out = out.join(close.withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"}), same, "left")
+    with freed():
+        index = keep(build_index(base), "postings")
+        lengths = keep(index.where("position = 0").select("doc_id", "text_hash", "n_words"), "text-lengths", lasting=True)
+        entries = keep(entries_of(items, item_col, item_text_col), "entries")
+        windows = keep(windows_of(entries, window), "windows")
+        counts = keep(count_terms(index, entries.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term")).distinct()), "term-counts")
+        found = window_matches(base, index, keep(sought(windows, entries, counts, rarest), "windows-sought"))
+
+        named = windows.groupBy("phrase").agg(F.min(F.struct("entry", "start")).alias("at"), F.collect_set(F.col("item_id").cast("string")).alias("named"))
+        found = found.join(named.select("at.*", "named"), ["entry", "start"])
+        per_doc = found.groupBy("doc_id", "text_hash").agg(
+            F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set("named")))).alias("items"),
+        )
+        covered = F.aggregate(
+            "spans",
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
+            lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["at"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s["stop"]).alias("upto")),
+        )
+        hits = keep(per_doc.select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), covered["n"].alias("hit"), "items"), "text-hits", lasting=True)
+        out = lengths.join(hits, same, "left").drop("at_id", "at_hash")
+        if near:
+            close = near_items(index, entries, counts, near_terms, near_words).withColumnsRenamed({"doc_id": "at_id", "text_hash": "at_hash"})
+            out = out.join(keep(close, "near-items", lasting=True), same, "left")
     nothing = F.array().cast("array<string>")
     hit = F.coalesce("hit", F.lit(0)).cast("long")
     return out.select(

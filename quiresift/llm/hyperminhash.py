@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quiresift.llm.textbytes import Texts, Words, pieces, run_hashes, scramble, split_batches, texts_of
 from quiresift.operators.components import components
-from quiresift.scratch import keep
+from quiresift.scratch import freed, keep
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
@@ -317,25 +317,9 @@ def between(near: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     return both.where((total > apart) & (100 * (total - apart) >= percent * (total + apart))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row a row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked if their sets of ``shingle``-word shingles (words
-    between white space, A-Z lowered) have a Jaccard similarity of ``percent``
-    and more; component_id is the smallest id that can be reached. percent is
-    80 or more. Null and empty texts, and white space alone, have no set and
-    link with nothing; fewer words than a shingle are one shingle. Rows with a
-    null id are linked with nothing and kept. Ids are of any type that has an
-    order; rows that repeat an id are documents of their own, by their texts.
-    Other columns play no part; an empty table gives no rows.
-    """
-    if percent < 80:
-        raise ValueError("bands are laid out for a similarity of 0.8 and more")
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    base = base.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sketches = keep(sketch(base, shingle), "sketches")
+def class_ids(base: DataFrame, sketches: DataFrame, key: list[str], shingle: int, percent: int) -> DataFrame:
+    """(key, of): the smallest id that each class of equal sets, told by ``key``, reaches over links."""
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    key = ["n_shingles", "set_1", "set_2"]
     reps = usable.groupBy(*key).agg(F.min(F.struct("doc_id", "text_key", "registers")).alias("first"))
     reps = keep(reps.select(*key, "first.*", F.monotonically_increasing_id().alias("rep")), "set-classes")
     classes = reps.where(F.col("n_shingles") >= LEAST_SHINGLES).select("rep", "registers")
@@ -360,7 +344,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_class = reps.select(*key, "doc_id", "rep").join(found, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
     of_class = keep(of_class.select(*key, "doc_id", "group"), "class-groups")
     least = keep(of_class.groupBy("group").agg(F.min("doc_id").alias("of")), "group-ids")
-    of_class = of_class.drop("doc_id").join(least, "group").select(*key, "of")
+    return keep(of_class.drop("doc_id").join(least, "group").select(*key, "of"), "class-ids", lasting=True)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row a row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if their sets of ``shingle``-word shingles (words
+    between white space, A-Z lowered) have a Jaccard similarity of ``percent``
+    and more; component_id is the smallest id that can be reached. percent is
+    80 or more. Null and empty texts, and white space alone, have no set and
+    link with nothing; fewer words than a shingle are one shingle. Rows with a
+    null id are linked with nothing and kept. Ids are of any type that has an
+    order; rows that repeat an id are documents of their own, by their texts.
+    Other columns play no part; an empty table gives no rows.
+    """
+    if percent < 80:
+        raise ValueError("bands are laid out for a similarity of 0.8 and more")
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    base = base.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sketches = keep(sketch(base, shingle), "sketches", lasting=True)
+    key = ["n_shingles", "set_1", "set_2"]
+    with freed():
+        of_class = class_ids(base, sketches, key, shingle, percent)
     out = sketches.select("doc_id", *key).join(of_class, key, "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("of"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

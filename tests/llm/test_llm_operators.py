@@ -592,6 +592,43 @@ def test_near_duplicates_around_the_threshold(spark, seed):
     assert as_rows(hyperminhash.near_duplicates(frame(spark, data), shingle=2)) == near(data, 2)
 
 
+@pytest.mark.parametrize("crowded", [0, 16])
+def test_near_duplicates_that_lack_words(spark, monkeypatch, crowded):
+    """Members that lack some of the same words share many differences; keys that crowd take further shingles."""
+    monkeypatch.setattr(hyperminhash, "CROWDED", crowded)
+    rng = random.Random(17)
+    data = []
+    for _ in range(3):
+        base = sentence(rng, 70, 100_000).split()
+        for _ in range(60):
+            gone = set(rng.sample(range(70), rng.randrange(1, 9)))
+            data.append((len(data), " ".join(w for i, w in enumerate(base) if i not in gone), None, None, None))
+    assert as_rows(hyperminhash.near_duplicates(frame(spark, data), shingle=2)) == near(data, 2)
+
+
+def test_near_duplicates_far_from_their_leader(spark, monkeypatch):
+    """Sets that share a band with sets they have little in common with: all of them in one band."""
+    monkeypatch.setattr(hyperminhash, "band_keys", lambda r: F.array(F.lit(1).cast("long")))
+    rng = random.Random(3)
+    data = []
+    for _ in range(30):
+        words = sentence(rng, rng.randrange(20, 60), 100_000).split()
+        data.append((len(data), " ".join(words), None, None, None))
+        words[rng.randrange(len(words))] = "other"
+        data.append((len(data), " ".join(words), None, None, None))
+    got = as_rows(hyperminhash.near_duplicates(frame(spark, data), shingle=2))
+    assert got == near(data, 2) and sum(not r[3] for r in got) > 15
+
+
+def test_near_duplicates_with_other_ids(spark):
+    """Ids that are strings; rows that repeat an id with another text are documents of their own."""
+    rng = random.Random(4)
+    one, two = sentence(rng, 40, 10_000), sentence(rng, 40, 10_000)
+    data = [("b", one), ("a", f"{one} more"), ("c", two), ("c", one), ("c", one), (None, one), ("d", None)]
+    got = as_rows(hyperminhash.near_duplicates(spark.createDataFrame(data, "doc_id string, text string"), shingle=2).select("doc_id", "component_id", "kept"))
+    assert got == sorted([("b", "a", False), ("a", "a", True), ("c", "c", True), ("c", "a", False), ("c", "a", False), (None, None, True), ("d", "d", True)], key=str)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     for n in (1, 3, 10, 200, 5000):
