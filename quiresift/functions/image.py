@@ -21,7 +21,7 @@ SKEW_STEPS = ((1.0, 5.0), (0.2, 1.0))
 STRETCH, LEAST_RANGE = (2.0, 98.0), 25.0
 #: Own choices: the least side and ink of a view that is straightened, the least side that is levelled, and the ground's boxes.
 LEAST_VIEW, LEAST_INK, LEAST_LEVELLED = 24, 50, 8
-GROUND_ROUNDS, GROUND_REACH = 3, 40
+GROUND_ROUNDS, GROUND_REACH = 2, 48
 #: Changes with anything that changes a feature's value.
 FEATURES = "q2"
 
@@ -113,18 +113,16 @@ def _sharpness(y: np.ndarray, x: np.ndarray, shape: tuple[int, int], degrees: np
     """For each angle, how much the profiles of ink cells (y, x from the middle) change from line to line and from column to column.
 
     The cells are turned, not the image: a profile is a count of their rounded
-    places along an axis, all angles in one count.
+    places along an axis, with room on either side for those that leave the page.
     """
-    angles = np.deg2rad(degrees)[:, None]
-    cos, sin = np.cos(angles), np.sin(angles)
-    down, across = np.rint(cos * y - sin * x), np.rint(cos * x + sin * y)
     out = np.zeros(len(degrees))
-    for place, n, other in ((down, shape[0], shape[1]), (across, shape[1], shape[0])):
-        at = (place + n // 2).astype(np.int64)
-        inside = (at >= 0) & (at < n)
-        row = np.broadcast_to(np.arange(len(degrees))[:, None], at.shape)
-        profile = np.bincount((row * n + at)[inside], minlength=len(degrees) * n).reshape(-1, n) / other
-        out += np.square(np.diff(profile, axis=1)).sum(1)
+    room = sum(shape)
+    for k, angle in enumerate(np.deg2rad(degrees)):
+        cos, sin = np.float32(np.cos(angle)), np.float32(np.sin(angle))
+        for place, n, other in ((cos * y - sin * x, shape[0], shape[1]), (cos * x + sin * y, shape[1], shape[0])):
+            at = (place + np.float32(n // 2 + room + 0.5)).astype(np.int32)
+            profile = np.bincount(at, minlength=n + 2 * room)[room : room + n] / other
+            out[k] += np.square(np.diff(profile)).sum()
     return out
 
 
@@ -134,7 +132,7 @@ def skew(gray: np.ndarray) -> float:
     y, x = np.nonzero(view < INK_LEVEL)
     if min(view.shape) < LEAST_VIEW or len(y) < LEAST_INK:
         return 0.0
-    y, x = y - view.shape[0] / 2, x - view.shape[1] / 2
+    y, x = (y - view.shape[0] / 2).astype(np.float32), (x - view.shape[1] / 2).astype(np.float32)
     found = 0.0
     for step, reach in SKEW_STEPS:
         tried = found + np.arange(-round(reach / step), round(reach / step) + 1) * step
