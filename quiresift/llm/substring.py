@@ -7,8 +7,9 @@ extended both ways as long as whole windows agree: a window goes if its words
 also start earlier somewhere, and neighbours that go are one maximal repeat,
 ``window`` words long at least. Along a repeat the earlier place may change
 from one document to another, so each window seeks its own first place; no two
-documents are paired. Windows are told apart by 96 bits of two hashes: among
-10^13 windows two different ones are taken for equal with probability 6e-4.
+documents are paired. Between buckets windows are told apart by 96 bits of two
+hashes: among 10^13 windows two different ones are taken for equal with
+probability 6e-4; within one, by the first 64 bits of them.
 
 Documents are dealt into buckets by id and text. Copies within a bucket meet
 there, so a passage sends one row a bucket, however often it occurs.
@@ -33,8 +34,6 @@ GRAM = 8
 BUCKET_DOCS = 1024
 #: Pairs of anchor and bucket that a task gathers before it sends them.
 MOST_PAIRS = 4_000_000
-#: Sets the second hash of a word apart from the first.
-SECOND = np.uint64(0x6A09E667F3BCC909)
 
 
 def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -72,6 +71,13 @@ class Anchored:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """32 more bits of the windows at ``at``, from the grams that cover them."""
+        out = np.zeros(len(at), np.uint64)
+        for offset in sorted({*range(0, self.window - self.gram + 1, self.gram), self.window - self.gram}):
+            out = scramble(out ^ self.grams[at + offset])
+        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def shared_windows(self, shared: np.ndarray) -> np.ndarray:
         """Starts of windows whose anchor is in ``shared`` (sorted)."""
         if not len(self.valid) or not len(shared):
@@ -134,7 +140,7 @@ class Bucket:
             at = np.flatnonzero(a.valid) if shared is None else a.shared_windows(shared)
             rows = a.rows()[at]
             hashes.append(run_hashes(a.hashes, window)[at])
-            checks.append((run_hashes(scramble(a.hashes ^ SECOND), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            checks.append(a.checks(at) if shared is not None else np.zeros(0, np.int32))
             rows_.append(rows + first)
             starts.append(at - a.first[rows])
             places.append(at + base)
@@ -144,11 +150,10 @@ class Bucket:
         self.hashes, self.checks, self.rows, self.starts, self.places = join(hashes, np.uint64), join(checks, np.int32), join(rows_, np.int64), join(starts, np.int64), join(places, np.int64)
         self.ids = own[self.rows]
         self.n_words = base
-        #: Windows by hashes, id and start; and where in that order each one's hashes begin.
-        self.order = np.lexsort((self.starts, self.ids, self.checks, self.hashes))
+        #: Windows by hash, id and start; and where in that order each one's hash begins. Rows come by id, so windows do by id and start, unless an id repeats.
+        self.order = np.argsort(self.hashes, kind="stable") if len(own) == 0 or own[-1] + 1 == len(own) else np.lexsort((self.starts, self.ids, self.hashes))
         fresh = np.ones(len(self.order), bool)
-        hashes_, checks_ = self.hashes[self.order], self.checks[self.order]
-        fresh[1:] = (hashes_[1:] != hashes_[:-1]) | (checks_[1:] != checks_[:-1])
+        fresh[1:] = self.hashes[self.order][1:] != self.hashes[self.order][:-1]
         self.leader = np.maximum.accumulate(np.where(fresh, np.arange(len(self.order)), 0))
 
 
@@ -170,7 +175,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def candidates(docs_: pa.Table, shared_: pa.Table) -> pa.Table:
         """The first occurrence in the bucket of each window that may stand in others; place: the bucket and the start."""
         b = Bucket(docs_, window, gram, np.sort(shared_.column("anchor").to_numpy().view(np.uint64)))
-        lead = b.order[np.unique(b.leader)]
+        lead = np.sort(b.order[np.unique(b.leader)])  # neighbours in a document compress better together
         bucket = docs_.column("bucket")[0].as_py() if docs_.num_rows else 0
         return pa.table({"hash": b.hashes[lead].view(np.int64), "check": b.checks[lead], "doc_id": b.ids_of_rows.take(pa.array(b.rows[lead])), "place": b.starts[lead].astype(np.int64) | bucket << 32})
 
@@ -179,23 +184,16 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     windows = windows.select("hash", "check", "doc_id", start.alias("start"), F.shiftright("place", 32).cast("int").alias("bucket"))
     first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("hash", "check"))
-    late = windows.withColumn("first", first).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).select("bucket", "hash", "check")
+    late = windows.withColumn("first", first).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))).select("bucket", "hash")
 
     def cut(docs_: pa.Table, late_: pa.Table) -> pa.Table:
         b = Bucket(docs_, window, gram)
         ids, starts = b.ids[b.order], b.starts[b.order]
         later = (ids != ids[b.leader]) | (starts != starts[b.leader])
-        if late_.num_rows:
-            both = np.dtype([("hash", np.uint64), ("check", np.int32)])
-            gone, own = np.empty(late_.num_rows, both), np.empty(len(b.order), both)
-            gone["hash"], gone["check"] = late_.column("hash").to_numpy().view(np.uint64), late_.column("check").to_numpy()
-            own["hash"], own["check"] = b.hashes[b.order], b.checks[b.order]
-            gone = gone[np.lexsort((gone["check"], gone["hash"]))]
-            at = np.minimum(np.searchsorted(gone["hash"], own["hash"]), len(gone) - 1)
-            later |= (gone["hash"][at] == own["hash"]) & (gone["check"][at] == own["check"])
-            # Two windows of one hash and different checks are next to each other.
-            for i in np.flatnonzero(gone["hash"][1:] == gone["hash"][:-1]) + 1:
-                later |= (own["hash"] == gone["hash"][i]) & (own["check"] == gone["check"][i])
+        gone = np.sort(late_.column("hash").to_numpy().view(np.uint64))
+        if len(gone):
+            own = b.hashes[b.order]
+            later |= gone[np.minimum(np.searchsorted(gone, own), len(gone) - 1)] == own
         edge = np.zeros(b.n_words + 1, np.int64)
         at = b.places[b.order[later]]
         np.add.at(edge, at, 1)
