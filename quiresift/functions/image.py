@@ -266,6 +266,33 @@ def read_png(data: bytes) -> np.ndarray | None:
     return to_grey(pixels[:, :, :3] if pixels.shape[2] >= 3 else pixels[:, :, :1])
 
 
+def header_size(head: bytes) -> tuple[int, int] | None:
+    """(width, height) of a PNG, GIF, BMP, JPEG or WebP by its first bytes, without decoding it; null if they do not tell."""
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
+        return struct.unpack(">II", head[16:24])
+    if head[:4] in (b"GIF8",) and len(head) >= 10:
+        return struct.unpack("<HH", head[6:10])
+    if head[:2] == b"BM" and len(head) >= 26:
+        w, h = struct.unpack("<ii", head[18:26])
+        return w, abs(h)
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP" and len(head) >= 30:
+        if head[12:16] == b"VP8X":
+            return int.from_bytes(head[24:27], "little") + 1, int.from_bytes(head[27:30], "little") + 1
+        if head[12:16] == b"VP8 ":
+            return int.from_bytes(head[26:28], "little") & 0x3FFF, int.from_bytes(head[28:30], "little") & 0x3FFF
+        bits = int.from_bytes(head[21:25], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 9 <= len(head) and head[at] == 0xFF:
+        kind = head[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame begins
+            h, w = struct.unpack(">HH", head[at + 5 : at + 9])
+            return w, h
+        alone = kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD9
+        at += 1 if kind == 0xFF else 2 if alone else 2 + int.from_bytes(head[at + 2 : at + 4], "big")
+    return None
+
+
 def thumbnail(gray: np.ndarray, height: int = 300) -> bytes:
     """A page as a small grey PNG of ``height`` lines."""
     return write_png(np.clip(np.round(resize(gray, height, max(1, round(gray.shape[1] * height / gray.shape[0])))), 0, 255))

@@ -21,7 +21,7 @@ TEMPLATE = 48
 
 @dataclass
 class Shelf:
-    """Scanned books (path, kind, fmt, size, mtime, pages, sampled, blanks, feat_ver, crop_mode, sampling, status, error, scanned_at) and pages (FEATURES)."""
+    """Scanned books (path, kind, fmt, size, mtime, pages, sampled, blanks, feat_ver, crop_mode, sampling, status, error, scanned_at, thumb) and pages (FEATURES)."""
 
     books: DataFrame
     pages: DataFrame
@@ -40,13 +40,13 @@ def scan(spark: SparkSession, root: str, before: Shelf | None = None, sampling:
     features = keep(library.page_features(read, crop, straighten), "new-features")
     told = read.groupBy("path").agg(F.max("page_count").alias("n"), F.max("error").alias("said"))
     good = features.groupBy("path").agg(F.count(F.when(F.col("error") == "", 1)).alias("sampled"), F.count(F.when(F.col("blank"), 1)).alias("blanks"))
-    rows = new.join(told, "path", "left").join(good, "path", "left")
+    rows = new.join(told, "path", "left").join(good, "path", "left").join(library.thumbnails(read), "path", "left")
     sampled = F.coalesce("sampled", F.lit(0))
     status = F.when(sampled > 0, "ok").when(F.coalesce("said", F.lit("no images")) == "no images", "empty").otherwise("error")
     books = rows.select(
         "path", "kind", "fmt", "size", "mtime", F.coalesce("n", "pages", F.lit(0)).alias("pages"), sampled.alias("sampled"), F.coalesce("blanks", F.lit(0)).alias("blanks"),
         "feat_ver", "crop_mode", "sampling", status.alias("status"), F.when(status == "ok", "").otherwise(F.coalesce(F.when(F.col("said") != "", F.col("said")), F.lit("no page could be read"))).alias("error"),
-        F.unix_timestamp().cast("double").alias("scanned_at"),
+        F.unix_timestamp().cast("double").alias("scanned_at"), "thumb",
     )
     pages = features.where("error = ''")
     if before:

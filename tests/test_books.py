@@ -57,6 +57,8 @@ def test_scan_and_group(spark, root):
     told = {r.path.rsplit("/", 1)[-1].replace("%20", " "): r for r in shelf.books.collect()}
     assert {n: r.status for n, r in told.items()} == {"first.cbz": "ok", "first copy.zip": "ok", "folder": "ok", "other.cbz": "ok", "broken.zip": "error"}
     assert told["first.cbz"].sampled == 12 and shelf.pages.count() == 48
+    small = image.read_png(bytes(told["first.cbz"].thumb))
+    assert small.shape[0] == 300 and told["broken.zip"].thumb is None and all(told[n].thumb for n in ("folder", "other.cbz"))
     again = books.scan(spark, root, shelf, sampling=PRESETS["all"])
     assert sorted(map(str, again.books.collect())) == sorted(map(str, shelf.books.collect()))  # nothing was read again
     found = books.group(shelf)

@@ -229,3 +229,24 @@ def test_stored_tiles(spark):
     got = spark.createDataFrame([(a, b) for a in [*tiles, None] for b in tiles], "a binary, b binary").select(tile_similarity(F.col("a"), F.col("b")).alias("s")).collect()
     grid = lambda t: np.frombuffer(t, np.uint8).reshape(64, 64)
     assert np.allclose([r.s for r in got[:9]], [aligned(grid(a), grid(b), 48) for a in tiles for b in tiles]) and all(r.s is None for r in got[9:])
+
+
+def test_sizes_by_heads(spark):
+    from quiresift.sources.library import page_sizes
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10" + b"J" * 14 + b"\xff\xff\xc4\x00\x04ab" + b"\xff\xc2\x00\x11\x08" + (481).to_bytes(2, "big") + (320).to_bytes(2, "big") + bytes(12)
+    cases = {
+        image.write_png(np.zeros((7, 9))): (9, 7),
+        b"GIF89a" + bytes([44, 1, 200, 0]) + bytes(20): (300, 200),
+        b"BM" + bytes(16) + (640).to_bytes(4, "little") + (-480).to_bytes(4, "little", signed=True) + bytes(8): (640, 480),
+        jpeg: (320, 481),
+        b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes(8) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little"): (100, 50),
+        b"RIFF" + bytes(4) + b"WEBPVP8L" + bytes(4) + b"\x2f" + (639 | 479 << 14).to_bytes(4, "little") + bytes(8): (640, 480),
+        b"RIFF" + bytes(4) + b"WEBPVP8 " + bytes(10) + (320).to_bytes(2, "little") + (240).to_bytes(2, "little"): (320, 240),
+        b"": None, b"\xff\xd8": None, b"\xff\xd8\xff": None, jpeg[:30]: None, b"nothing": None,
+    }
+    for head, size in cases.items():
+        assert image.header_size(head) == size, head[:12]
+    rows = spark.createDataFrame([("a", i, bytearray(h)) for i, h in enumerate(cases)] + [("a", 99, None)], "path string, idx int, content binary")
+    got = {r.idx: r for r in page_sizes(rows).collect()}
+    assert [(got[i].width, got[i].height) if got[i].width else None for i in range(len(cases))] == list(cases.values()) and got[0].px == 63 and got[99].px is None
