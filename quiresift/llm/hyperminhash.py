@@ -22,7 +22,9 @@ of different components. Keys that many sets share take a second and third
 shingle. Sets far from the leader can, by the triangle inequality of Jaccard's
 distance, be similar only to others nearly as far; these meet in the same way
 by their differences from the empty set. So no link between different
-components is passed over, and no group's sets are all paired."""
+components is passed over. Keys are split DEEPEST times at most: sets of
+different components that share as many of their rarest differences as that,
+or need to share fewer, are compared with one another however many they are."""
 
 from __future__ import annotations
 
