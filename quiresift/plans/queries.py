@@ -20,6 +20,8 @@ from quiresift.streaming.ingest import run_to_table, windows_to_table
 LIMITS = Thresholds()
 #: The first pass of documents: fewer lines than a book has pages.
 FIRST = Thresholds(pre_min=3)
+#: Pages drawn by a task: some seconds' work, whatever the files.
+PAGES_A_TASK = 128
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -558,9 +560,10 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of pages drawn from vectors: each as a clean page and as a scan with a dark lid and a tilt."""
-    pages = tables.embedding_pages(spark, sf_dir).select("idx", "vector")
+    pages = tables.dealt(tables.embedding_pages(spark, sf_dir).select("idx", "vector"), "idx", PAGES_A_TASK)
 
     def run(batches):
+        image.hold_memory()
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):

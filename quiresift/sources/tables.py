@@ -15,6 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` over tasks of about ``rows`` rows by ``key``, for work that files of few bytes would leave to few cores; a core has 16 at most."""
+    return df.repartition(max(1, min(-(-df.count() // rows), 16 * df.sparkSession.sparkContext.defaultParallelism)), key)
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, idx from 0, line, blank): documents as books, lines as pages."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "line"))

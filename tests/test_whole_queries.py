@@ -71,3 +71,12 @@ def test_truth_is_whole_texts(spark, tmp_path):
     texts = [begin + "one", begin + "two", begin + "one"]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.proxy_recall(spark, str(tmp_path)).first().expected == 1
+
+
+def test_pages_of_one_file_go_to_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=64).tolist(), i % 3) for i in range(300)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.image_features(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 3
+    assert rows(found.select("idx", "kind")) == sorted([(i, k) for i in range(300) for k in ("clean", "scan")], key=str)
