@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from quiresift.config import Thresholds
 from quiresift.functions.sequence import greedy_match, longest_chain
 from quiresift.functions.text import relation
+from quiresift.scratch import keep
 
 
 #: Books of an item beyond which it finds candidates only together with another.
 CROWDED = 64
+#: Items of a book up to which every two of them are a key in sharing_two().
+SHORT = 64
+#: Books that of_books() sends to all executors; more are joined by a shuffle.
+FEW_BOOKS = 1_000_000
 
 
 def overlapping(items: DataFrame, least: int) -> DataFrame:
@@ -50,6 +55,44 @@ def overlapping(items: DataFrame, least: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= {least}").select("a", "b")
 
 
+def of_books(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` of books that are in ``pairs`` (a, b), a table that can be read twice."""
+    books = pairs.select(F.col("a").alias("book")).union(pairs.select("b")).distinct()
+    few = pairs.count() * 2 <= FEW_BOOKS
+    return rows.join(F.broadcast(books) if few else books, "book", "left_semi")
+
+
+def sharing_two(items: DataFrame) -> DataFrame:
+    """(a, b), a < b: as overlapping(items, 2), for many short books whose items are on many books each.
+
+    items: (book, item). Every two items of a book are a key, so a pair is found
+    only by what it shares, not by one frequent item; keys of one book alone go
+    before books meet. A book of more than SHORT items meets the others by single
+    items instead, counted by pairs. Moved are the items once and the keys once.
+    """
+    items = items.where("book IS NOT NULL AND item IS NOT NULL").select("book", "item")
+    held = keep(items.repartition("book").groupBy("book").agg(F.sort_array(F.collect_list("item")).alias("held")).where("size(held) > 1"), "books-held")
+    turn = lambda at, item: F.expr(f"{at} - array_position(held, {item}) + 2")  # noqa: E731  of equal items, which follow one another
+    one = held.where(F.size("held") <= SHORT).select("book", "held", F.posexplode("held").alias("at", "item"))
+    two = one.select("book", "held", "at", "item", F.posexplode(F.expr("slice(held, at + 2, size(held))")).alias("after", "other"))
+    keys = two.select("book", F.xxhash64("item", turn("at", "item"), "other", turn("at + 1 + after", "other")).alias("key"))
+    met = keep(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("book", "key"), "books-met")
+    a, b = (met.withColumnRenamed("book", k) for k in "ab")
+    asked = keep(a.join(b, "key").where("a < b").select("a", "b").distinct(), "books-asked")
+    tokens = lambda df: df.select("book", "held", F.posexplode("held").alias("at", "item")).select("book", "item", turn("at", "item").alias("turn"))
+    side = lambda df, k: tokens(df).withColumnRenamed("book", k)
+    own = keep(of_books(held, asked), "books-own")
+    both = asked.join(side(own, "a"), "a").join(side(own, "b"), ["b", "item", "turn"])
+    long = keep(held.where(F.size("held") > SHORT), "books-long")
+    if not long.isEmpty():
+        all_, few = side(held, "x"), side(long, "y")
+        longs = long.select(F.col("book").alias("x"), F.lit(True).alias("also"))
+        # Two long books meet once, from the lesser.
+        crossed = all_.join(few, ["item", "turn"]).join(longs, "x", "left").where("x <> y AND (also IS NULL OR x < y)")
+        both = both.select("a", "b").unionAll(crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").select("a", "b")
+
+
 def worth_asking(items: DataFrame, books: DataFrame, limits: Thresholds) -> DataFrame:
     """(a, b), a < b: books that share enough items, one to one, for first_pass(): pre_min, or pre_ratio of the shorter book.
 

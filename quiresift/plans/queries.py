@@ -385,8 +385,10 @@ def burst_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a, b, len(m) AS n_match, {CHAIN.format(ordered='list_transform(list_sort(list_transform(m, lambda c: [c.a_idx, c.b_idx])), lambda p: p[2])')} AS chain FROM m"""
 )
 def shared_order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = keep(tables.order_items(spark, sf_dir), "order-items")
-    cells = pairs.equal_cells(items, pairs.overlapping(items, 2))
+    lines = tables.order_lines(spark, sf_dir)
+    found = keep(pairs.sharing_two(lines.select("book", "item")), "order-pairs")
+    items = keep(tables.in_order(pairs.of_books(lines, found)), "order-items")
+    cells = pairs.equal_cells(items, found)
     cells = cells.withColumn("m", pairs.matches_of(cells, 0.0))
     return cells.select("a", "b", F.size("m").cast("long").alias("n_match"), longest_chain(F.col("m")).cast("long").alias("chain"))
 

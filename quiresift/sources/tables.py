@@ -52,10 +52,15 @@ def embedding_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("label").alias("book"), F.col("vec_id").alias("idx"), F.col("embedding").alias("vector"))
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book, idx, item): orders as books, parts as pages, in the order of all that tells lines apart."""
-    by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), (F.row_number().over(by_line) - 1).alias("idx"), F.col("l_partkey").alias("item"))
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, item, and all that tells lines apart): orders as books, parts as pages."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_partkey").alias("item"), "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice")
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """(book, idx, item) of order_lines(), in the order of all that tells lines apart."""
+    by_line = Window.partitionBy("book").orderBy("l_linenumber", "item", "l_suppkey", "l_shipdate", "l_extendedprice")
+    return lines.select("book", (F.row_number().over(by_line) - 1).alias("idx"), "item")
 
 
 def turn_items(spark: SparkSession, sf_dir: str) -> DataFrame:

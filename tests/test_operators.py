@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quiresift.config import Thresholds
 from quiresift.operators import evaluate, groups, pairs, report, similarity
 from quiresift.operators.components import components
+from quiresift.scratch import keep
 
 
 def rows(df):
@@ -53,6 +54,30 @@ def test_overlapping(spark, monkeypatch, least, crowded):
     assert rows(got) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("short", [1, 5, 64])
+def test_sharing_two(spark, monkeypatch, short):
+    monkeypatch.setattr(pairs, "SHORT", short)
+    rng = random.Random(short)
+    items = [(b, min(int(rng.expovariate(0.15)), 40)) for b in range(60) for _ in range(rng.randrange(0, 9))] + [(90, 1), (None, 2), (None, 3), (91, None)]
+    held = defaultdict(Counter)
+    for b, x in items:
+        if b is not None and x is not None:
+            held[b][x] += 1
+    want = [(a, b) for a, b in itertools.combinations(sorted(held), 2) if sum((held[a] & held[b]).values()) >= 2]
+    assert any(len(held[a] & held[b]) == 1 for a, b in want)  # by one item twice
+    assert rows(pairs.sharing_two(spark.createDataFrame(items, "book long, item long"))) == sorted(want, key=str)
+
+
+def test_books_that_share_one_item_do_not_meet(spark, monkeypatch):
+    """A part on every order: orders meet only by what two of them share besides."""
+    kept = {}
+    monkeypatch.setattr(pairs, "keep", lambda df, label: kept.setdefault(label, keep(df, label)))
+    items = [(b, x) for b in range(300) for x in (0, 1000 + b, 2000 + b // 2 if b < 20 else 3000 + b)]
+    found = pairs.sharing_two(spark.createDataFrame(items, "book long, item long"))
+    assert rows(found) == sorted(((b, b + 1) for b in range(0, 20, 2)), key=str)
+    assert kept["books-met"].count() == 20 and kept["books-asked"].count() == 10
+
+
 def test_cells_of_items_that_repeat(spark):
     """One to one cells are what a greedy match of all equal places takes; the same item thousands of times is no problem."""
     rng = random.Random(8)
