@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +37,26 @@ def longest_chain(matches: Column) -> Column:
         return F.concat(F.slice(tails, 1, under), F.array(b), F.slice(tails, under + 2, F.size(tails)))
 
     return F.size(F.aggregate(ordered, F.array().cast("array<int>"), place))
+
+
+def greedy_places(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the cells (a, b, score) that greedy_match() takes, by rank; sorted once, then each cell is looked at once."""
+    order = np.lexsort((b, a, -score))
+    rows, row = np.unique(a[order], return_inverse=True)
+    columns, column = np.unique(b[order], return_inverse=True)
+    free_row, free_column = bytearray(b"\1") * len(rows), bytearray(b"\1") * len(columns)
+    taken = []
+    for k, (i, j) in enumerate(zip(row.tolist(), column.tolist(), strict=True)):
+        if free_row[i] and free_column[j]:
+            free_row[i] = free_column[j] = 0
+            taken.append(k)
+    return order[np.array(taken, np.int64)]
+
+
+def chain_length(a: np.ndarray, b: np.ndarray) -> int:
+    """longest_chain() of matches (a, b)."""
+    tails: list[int] = []
+    for x in b[np.lexsort((b, a))].tolist():
+        at = bisect_left(tails, x)
+        tails[at : at + 1] = [x]
+    return len(tails)

@@ -7,10 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiresift.functions.sequence import chain_length, greedy_places
 from quiresift.functions.vectors import hamming
 
 #: Vectors of a block; a block pair is one matrix product.
 BLOCK = 2048
+#: Of those whose scores are looked at only for hits: each vector is sent once a block.
+WIDE_BLOCK = 8192
 #: Bits of a band of hashes from which bands tell hashes apart.
 LEAST_BITS = 10
 #: A tile that deviates less is flat. Fixed value.
@@ -24,14 +27,8 @@ def _units(values: pd.Series) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm >= 1e-3)
 
 
-def similar_vectors(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a_book, a_idx, b_book, b_idx, score) of pages of different books, a_book < b_book, whose centred cosine is at least ``least``.
-
-    vectors: (book, idx, vector). All pairs are compared, as matrix products of
-    blocks: each vector goes to one task a block of the others, and only hits
-    leave. The number of blocks follows the number of vectors, so a task's
-    memory does not grow with the input.
-    """
+def _hits(vectors: DataFrame, least: float, told, schema: str, block: int) -> DataFrame:
+    """Rows of ``told(a_book, a_idx, b_book, b_idx, score)``, a frame, for the hits of some lines of a block pair; every hit is told once."""
     blocks = max(1, -(-vectors.count() // block))
     dealt = vectors.select("book", "idx", "vector", F.pmod(F.xxhash64("book", "idx"), F.lit(blocks)).cast("int").alias("block"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -52,11 +49,48 @@ def similar_vectors(vectors: DataFrame, least: float, block: int = BLOCK) -> Dat
                 forward = lb[i_] < rb[j]
                 back = (lb[i_] > rb[j]) & (low != high)
                 for hit, (xb, xi, yb, yi) in ((forward, (lb[i_], li[i_], rb[j], ri[j])), (back, (rb[j], ri[j], lb[i_], li[i_]))):
-                    out.append(pd.DataFrame({"a_book": xb[hit], "a_idx": xi[hit], "b_book": yb[hit], "b_idx": yi[hit], "score": score[i, j][hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"a_book": [], "a_idx": [], "b_book": [], "b_idx": [], "score": []})
+                    out.append(told(xb[hit], xi[hit], yb[hit], yi[hit], score[i, j][hit]))
+        return pd.concat(out) if out else told(*[np.zeros(0, object)] * 4, np.zeros(0))
+
+    return rows.groupBy("low", "high").applyInPandas(product, schema)
 
+
+def similar_vectors(vectors: DataFrame, least: float, block: int = WIDE_BLOCK) -> DataFrame:
+    """(a_book, a_idx, b_book, b_idx, score) of pages of different books, a_book < b_book, whose centred cosine is at least ``least``.
+
+    vectors: (book, idx, vector). All pairs are compared, as matrix products of
+    blocks: each vector goes to one task a block of the others, and only hits
+    leave. The number of blocks follows the number of vectors, so a task's
+    memory does not grow with the input.
+    """
     book, idx = (vectors.schema[c].dataType.simpleString() for c in ("book", "idx"))
-    return rows.groupBy("low", "high").applyInPandas(product, f"a_book {book}, a_idx {idx}, b_book {book}, b_idx {idx}, score double")
+    names = ["a_book", "a_idx", "b_book", "b_idx", "score"]
+    return _hits(vectors, least, lambda *hits: pd.DataFrame(dict(zip(names, hits, strict=True))), f"a_book {book}, a_idx {idx}, b_book {book}, b_idx {idx}, score double", block)
+
+
+def matched_books(vectors: DataFrame, least: float, digits: int, block: int = WIDE_BLOCK) -> DataFrame:
+    """(a_book, b_book, n_match, chain) of books that have hits, as similar_vectors(): greedy matches by score to ``digits`` places, and their longest chain.
+
+    vectors: (book, idx, vector), idx a whole number. A pair's hits travel packed,
+    24 bytes each, and meet in one task, in time of their number and its logarithm.
+    """
+    book = vectors.schema["book"].dataType.simpleString()
+
+    def packed(ab: np.ndarray, ai: np.ndarray, bb: np.ndarray, bi: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        hits = pd.DataFrame({"a_book": ab, "b_book": bb})
+        found = [(*key, ai[at].astype(np.int64).tobytes(), bi[at].astype(np.int64).tobytes(), score[at].tobytes()) for key, at in hits.groupby(["a_book", "b_book"]).indices.items()]
+        return pd.DataFrame(found, columns=["a_book", "b_book", "a", "b", "score"])
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, score = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("a", np.int64), ("b", np.int64), ("score", np.float64)))
+        scaled = score * 10.0**digits
+        rank = np.rint(scaled)
+        rank += scaled - rank == 0.5  # halves go up
+        taken = greedy_places(a, b, rank)
+        return pd.DataFrame({"a_book": pdf["a_book"].iloc[:1], "b_book": pdf["b_book"].iloc[:1], "n_match": len(taken), "chain": chain_length(a[taken], b[taken])})
+
+    hits = _hits(vectors, least, packed, f"a_book {book}, b_book {book}, a binary, b binary, score binary", block)
+    return hits.groupBy("a_book", "b_book").applyInPandas(match, f"a_book {book}, b_book {book}, n_match long, chain long")
 
 
 def _every_score(vectors: DataFrame, told, schema: str, block: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quiresift.config import PRESETS, Thresholds
 from quiresift.functions import image, vectors
 from quiresift.functions.sampling import sample_pages
-from quiresift.functions.sequence import greedy_match, longest_chain
+from quiresift.functions.sequence import longest_chain
 from quiresift.functions.text import human_size, natural_key, normal_path, suspects, title_volume
 from quiresift.operators import evaluate, groups, pairs, report, similarity
 from quiresift.scratch import keep
@@ -264,9 +264,7 @@ CHAIN = "len(list_reduce(list_transform({ordered}, lambda b: [b]), lambda t, x:
 SELECT a_book, b_book, len(m) AS n_match, {CHAIN.format(ordered='o')} AS chain FROM o"""
 )
 def greedy_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = similar(spark, sf_dir).groupBy("a_book", "b_book").agg(F.collect_list(F.struct(F.col("a_idx").cast("int").alias("a_idx"), F.col("b_idx").cast("int").alias("b_idx"), F.round("score", 9).alias("score"))).alias("cells"))
-    matched = cells.withColumn("m", greedy_match(F.col("cells")))
-    return matched.select("a_book", "b_book", F.size("m").cast("long").alias("n_match"), longest_chain(F.col("m")).cast("long").alias("chain"))
+    return similarity.matched_books(tables.embedding_pages(spark, sf_dir), 0.3, 9)
 
 
 @query(f"WITH {COSINE} SELECT a_book, b_book, count(*) AS votes FROM hits WHERE score >= 0.35 GROUP BY ALL HAVING count(*) >= 3")

@@ -132,6 +132,17 @@ def test_matches_and_chains(spark):
         assert r.n == chain(want) == quadratic_chain(want)
 
 
+def test_places_of_matches():
+    rng = random.Random(6)
+    for n in [0, 1, *range(2, 40)]:
+        cells = list({(rng.randrange(-4, 8), rng.randrange(8)): rng.choice([0.3, 0.5, 1.0]) for _ in range(n)}.items())
+        a, b, score = (np.array(x, kind) for x, kind in (([c[0][0] for c in cells], np.int64), ([c[0][1] for c in cells], np.int64), ([c[1] for c in cells], float)))
+        got = sequence.greedy_places(a, b, score)
+        want = greedy([(*p, s) for p, s in cells], 0.0)
+        assert [(a[k], b[k], score[k]) for k in got] == sorted(map(tuple, want), key=lambda c: (-c[2], *c[:2]))
+        assert sequence.chain_length(a[got], b[got]) == chain(want)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=20))
 def test_chain_rules_agree(pairs):

@@ -1,6 +1,8 @@
 """Queries do the whole job."""
 
+import bisect
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -80,3 +82,28 @@ def test_pages_of_one_file_go_to_many_tasks(spark, tmp_path):
     found = queries.image_features(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= 3
     assert rows(found.select("idx", "kind")) == sorted([(i, k) for i in range(300) for k in ("clean", "scan")], key=str)
+
+
+def test_many_alike_pages_are_matched_in_time(spark, tmp_path):
+    """Two books of 1,200 pages alike: 1,440,000 cells of one pair, each looked at once."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    pages = [(i, (base + 0.3 * rng.normal(size=64)).tolist(), i % 2) for i in range(2400)]
+    spark.createDataFrame(pages, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    began = time.time()
+    found = queries.greedy_vectors(spark, str(tmp_path)).collect()
+    assert time.time() - began < 60
+    v = np.array([np.array(x, np.float32) for _, x, _ in pages], np.float64)
+    v -= v.mean(1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(v[0::2] @ v[1::2].T, 9)
+    n, b_of = 0, {}
+    while (best := score.max()) >= 0.3:
+        i, j = np.unravel_index(np.argmax(score), score.shape)  # of equals the first row, then column
+        b_of[i], n = j, n + 1
+        score[i], score[:, j] = -1, -1
+    tails = []
+    for i in sorted(b_of):
+        at = bisect.bisect_left(tails, b_of[i])
+        tails[at : at + 1] = [b_of[i]]
+    assert [tuple(r) for r in found] == [(0, 1, n, len(tails))]
