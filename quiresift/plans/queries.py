@@ -12,7 +12,7 @@ from quiresift.functions import image, vectors
 from quiresift.functions.sampling import sample_pages
 from quiresift.functions.sequence import longest_chain
 from quiresift.functions.text import human_size, natural_key, normal_path, suspects, title_volume
-from quiresift.operators import evaluate, groups, pairs, report, similarity
+from quiresift.operators import evaluate, groups, overlap, pairs, report, similarity
 from quiresift.scratch import keep
 from quiresift.sources import sinks, store, tables
 from quiresift.streaming.ingest import run_to_table, windows_to_table
@@ -353,9 +353,7 @@ ANY_OVERLAP = OVERLAP.replace(" HAVING count(*) >= 3", "")
 @query(f"WITH {ANY_OVERLAP} SELECT a, b, rough, n_match, chain FROM sc WHERE (rough >= 3 OR rough >= 0.2 * span) AND (n_match >= 3 OR n_match >= 0.2 * span) AND (chain >= 3 OR chain >= 0.2 * span)")
 def prefilter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all pairs: short documents pass by their share of one or two lines."""
-    items, books = tables.document_items(spark, sf_dir), tables.document_books(spark, sf_dir)
-    passed = pairs.first_pass(pairs.equal_cells(items, pairs.worth_asking(items, books, FIRST)), books, FIRST)
-    return passed.select("a", "b", *[F.col(c).cast("long").alias(c) for c in ("rough", "n_match", "chain")])
+    return overlap.first_pass(tables.document_items(spark, sf_dir), tables.document_books(spark, sf_dir), FIRST)
 
 
 @query(f"WITH {OVERLAP} SELECT a, b, n_match, chain, round(ratio, 6) AS ratio, score FROM ok")

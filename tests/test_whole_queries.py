@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from quiresift.config import Thresholds
-from quiresift.operators import pairs, similarity
+from quiresift.operators import overlap, pairs, similarity
 from quiresift.plans import queries
 
 
@@ -34,6 +34,34 @@ def test_first_pass_asks_short_books(spark, seed):
     assert rows(got) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize(("block", "cells", "together"), [(7, 20, 3), (1000, 10**6, 24)])
+def test_first_pass_in_blocks(spark, monkeypatch, block, cells, together):
+    """As by cells of asked pairs: items that repeat, short and long books, some with no item, cells over any cut."""
+    monkeypatch.setattr(overlap, "CELLS", cells)
+    monkeypatch.setattr(overlap, "TOGETHER", together)
+    rng = random.Random(block)
+    items = [(b * 3 - 50, i, min(int(rng.expovariate(0.1)), 60)) for b in range(70) for i in range(rng.choice([0, 1, 3, 8, 25]))]
+    copied = [x for _, _, x in items[:40]]
+    items += [(1000 + k, i, x) for k in range(3) for i, x in enumerate(copied if k else copied[::-1])] + [(None, 0, 1), (2000, 0, None)]
+    sizes = Counter(b for b, _, _ in items if b is not None)
+    books = spark.createDataFrame([(b, n, n) for b, n in [*sizes.items(), (3000, 0)]], "book long, pages int, usable int")
+    df = spark.createDataFrame(items, "book long, idx int, item long")
+    limits = Thresholds(pre_min=3)
+    want = pairs.first_pass(pairs.equal_cells(df, pairs.worth_asking(df, books, limits)), books, limits).select("a", "b", "rough", "n_match", "chain")
+    got = rows(overlap.first_pass(df, books, limits, block))
+    assert got == rows(want) and max(r[4] for r in got) > together
+
+
+def test_first_pass_lists_no_pairs_between_tasks(spark, tmp_path):
+    """A line on 400 short documents gives 79,800 rows; the shuffled rows are as many as documents."""
+    line = "the same line of more than twenty characters"
+    spark.createDataFrame([(i, line, "en", "s", len(line)) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.prefilter_pairs(spark, str(tmp_path))
+    assert found.count() == 400 * 399 // 2
+    assert found.agg({"rough": "max", "chain": "min"}).first()[:] == (1, 1)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upsert_reads_all_events(spark, tmp_path):
     rng = random.Random(3)
     events = [(5000 + i, rng.randrange(10**6), rng.randrange(40), rng.choice("abc")) for i in range(600)]
